@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, fingerprints, mixing, packing, pii, quality
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +18,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> quality.CompressionClassifier:
+    """Fitted on labels of rows that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents") if docs is None else docs
+    usable = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    return quality.fit(quality.labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", usable))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(read_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_bytes", "bad_bytes")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in pii.BASE]))
+
+    def count(name: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+
+    counts = [count(k.name) for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -29,6 +58,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_pii": op6_pii,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
