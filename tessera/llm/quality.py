@@ -29,8 +29,8 @@ FOLDS = 5
 FRAME_BYTES, DAMPING = 7, 24
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int = FIT_ROWS, longest: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled documents of at most ``longest`` code points.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int = FIT_ROWS, longest: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
+    """(id, text, label) of at most ``rows`` labelled documents of at most ``longest`` code points.
 
     The rows are chosen by a hash of their id, so reruns agree. ``usable`` is a
     condition on the id. Null labels, and ids labelled both ways, are left out.
@@ -41,7 +41,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where(F.length("_text") <= longest)
     found = texts.join(F.broadcast(chosen), "_id")  # at most ``rows`` ids
     found = found.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
-    return [(r["_text"], int(r["_label"])) for r in found.orderBy("_id").collect()]
+    return [(r["_id"], r["_text"], int(r["_label"])) for r in found.orderBy("_id").collect()]
 
 
 def _dictionary(texts: list[bytes]) -> bytes:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table
-from . import exact_dedup, fingerprints, mixing, packing, pii, quality
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,7 +22,8 @@ def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
     """Fitted on labels of rows that aren't held out."""
     docs = read_table(spark, sf_dir, "documents") if docs is None else docs
     usable = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
-    return quality.fit(quality.labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", usable))
+    sample = quality.labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", usable)
+    return quality.fit([(text, label) for _, text, label in sample])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_bytes", "bad_bytes")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    usable = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    sample = quality.labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", usable, toxicity.FIT_ROWS, toxicity.FIT_CHARS)
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, sample))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
     return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -59,6 +73,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_pii": op6_pii,
     "op9_mixing": op9_mixing,
