@@ -100,18 +100,19 @@ class TermCounter:
             self.automaton.make_automaton()
         self.terms = terms
 
-    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text's place, term, times) for every term of every text, by text and term."""
+    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text's place, term, times) for every term of every text, by text and term; and the texts' numbers of words."""
         none = np.zeros(0, dtype=np.int64)
         found, begins = words(texts)
+        lengths = np.diff(begins)
         if not self.terms or not len(found):
-            return none, none, none
+            return none, none, none, lengths
         coded = found.dictionary_encode()
         marked = _marked(coded.dictionary.to_pylist())
         line_ends = np.flatnonzero(np.array([c == "\n" for c in marked])) if not marked.isascii() else np.flatnonzero(np.frombuffer(marked.encode(), dtype=np.uint8) == 10)
         hits = list(self.automaton.iter(marked))
         if not hits:
-            return none, none, none
+            return none, none, none, lengths
         ends, term = np.array(hits, dtype=np.int64).T
         token = np.searchsorted(line_ends, ends)
         order = np.argsort(token, kind="stable")
@@ -125,14 +126,23 @@ class TermCounter:
         terms = term[np.repeat(first[place[at]], times) + inner]
         owner = np.repeat(np.searchsorted(begins, at, side="right") - 1, times)
         keys, counts = np.unique(owner * len(self.terms) + terms, return_counts=True)
-        return keys // len(self.terms), keys % len(self.terms), counts
+        return keys // len(self.terms), keys % len(self.terms), counts, lengths
 
 
-def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """The L2-normalised TF-IDF weights, (1 + ln tf) * idf, of counted terms of n texts."""
-    weight = (1 + np.log(times)) * idf[term]
-    norm = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
-    return weight / norm[owner]
+def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The L2-normalised TF-IDF vectors of counted texts, as (owner, term, weight) by owner.
+
+    tf is ten times the root of the term's share of the words. All other words
+    count as one more term, of weight 1 + ln(words), so that a text in which the
+    vocabulary is rare differs from one that is full of it. A text without any
+    term of the vocabulary has no vector.
+    """
+    bearers = np.unique(owner)
+    weight = np.concatenate([10 * np.sqrt(times / lengths[owner]) * idf[term], 1 + np.log(lengths[bearers])]) if len(owner) else np.zeros(0)
+    owner, term = np.concatenate([owner, bearers]), np.concatenate([term, np.full(len(bearers), len(idf))])
+    norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(lengths))) if len(owner) else np.zeros(0)
+    order = np.lexsort((term, owner))
+    return owner[order], term[order], (weight / norm[owner])[order]
 
 
 class BlockMaxIndex:
@@ -207,8 +217,7 @@ class NearestExamples:
         """Scores, and each text's neighbours as evidence."""
         votes, evidence = np.full(len(texts), self.prior_without), [[] for _ in texts]
         if self.index is not None:
-            owner, term, times = self.counter().count(texts)
-            weight = vectors(owner, term, times, self.idf, len(texts))
+            owner, term, weight = vectors(*self.counter().count(texts), self.idf)
             firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
             for i in np.flatnonzero(np.diff(firsts)).tolist():
                 a, b = firsts[i], firsts[i + 1]
@@ -226,7 +235,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
         counter, total, df = TermCounter(terms), 0, np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
-                _, term, _ = counter.count([t.encode() for t in part.column(0).to_pylist()])
+                _, term, _, _ = counter.count([t.encode() for t in part.column(0).to_pylist()])
                 df += np.bincount(term, minlength=len(terms))
                 total += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], ["total", "df"])
@@ -254,15 +263,15 @@ def fit(docs: DataFrame, sample: list[tuple[int, str, int]]) -> NearestExamples:
     idf = np.log((1 + total) / (1 + df)) + 1
     counter = TermCounter(terms)
     # examples that share their rarest term lie together, which keeps the blocks' bounds low
-    owner, term, times = counter.count([t.encode("utf-8", "replace") for t in texts])
+    owner, term, times, lengths = counter.count([t.encode("utf-8", "replace") for t in texts])
     lead = np.full(len(texts), len(terms))
     rarest = np.lexsort((df[term], owner))
     lead[owner[rarest][::-1]] = term[rarest][::-1]
     order = np.lexsort((ids, lead))
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    weight = vectors(owner, term, times, idf, len(texts))
-    index = BlockMaxIndex(place[owner], term, weight, len(texts), len(terms))
+    owner, term, weight = vectors(owner, term, times, lengths, idf)
+    index = BlockMaxIndex(place[owner], term, weight, len(texts), len(terms) + 1)
     labels, ids = labels[order], ids[order]
     bare = np.ones(len(texts), dtype=bool)
     bare[place[owner]] = False
