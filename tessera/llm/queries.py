@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, quality, toxicity
+from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, pii, quality, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -61,6 +61,39 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+#: A page is asked for again after so many further captures.
+REVISIT_AFTER = 1000
+
+
+def capture_log(pages: DataFrame) -> DataFrame:
+    """Two records for each page: its response, captured in the order of page_id, and a later not-modified revisit.
+
+    A revisit sees the ETag of its own page, so it disagrees with the latest
+    response wherever another page of the same canonical URL came in between.
+    """
+    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+
+    def fields(*pairs):
+        return F.create_map(*[x for name, value in pairs for x in (F.lit(name), value)])
+
+    response = fields(("Content-Type", F.lit("text/html")), ("Content-Length", size), ("ETag", etag), ("Cache-Control", F.lit("max-age=60")))
+    revisit = fields(("Content-Length", F.lit("0")), ("ETag", F.concat(F.lit("W/"), etag)), ("Cache-Control", F.lit("max-age=600")))
+    kinds = F.explode(F.array(F.struct(F.lit(200).alias("status"), F.lit(0).alias("after"), response.alias("headers")), F.struct(F.lit(304).alias("status"), F.lit(REVISIT_AFTER).alias("after"), revisit.alias("headers"))))
+    both = pages.select("page_id", "url", kinds.alias("_k"))
+    return both.select(F.col("page_id").alias("record_id"), "url", F.timestamp_seconds(F.col("page_id") + F.col("_k.after")).alias("time"), F.col("_k.status").alias("status"), F.col("_k.headers").alias("headers"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(capture_log(read_table(spark, sf_dir, "pages")))
+    fields = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "refers_to", "state", fields.alias("headers"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -77,11 +110,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_pii": op6_pii,
+    "op7_html_text": op7_html_text,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_warc_revisits": r"""
+        WITH part AS (
+          SELECT page_id, html, url,
+                 regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)\??([^#]*)', 2)),
+                   '^[^@]*@', ''), ':(80|443)?$', ''), '^www[0-9]*\.', '') AS host,
+                 regexp_replace(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)\??([^#]*)', 3), '/+$', '') AS path,
+                 array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)\??([^#]*)', 4), '&'),
+                   lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z_]+|gclid|fbclid|msclkid|mc_eid|mc_cid|igshid)(=|$)'))), '&') AS query
+          FROM pages
+        ), u AS (
+          SELECT page_id, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS size,
+                 CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url
+          FROM part
+        ), best AS (
+          SELECT r.page_id, max(f.page_id) AS refers_to
+          FROM u r LEFT JOIN u f ON f.canonical_url = r.canonical_url AND f.page_id < r.page_id + 1000
+          GROUP BY r.page_id
+        )
+        SELECT u.page_id, u.canonical_url, b.refers_to,
+               CASE WHEN f.page_id IS NULL THEN 'missing' WHEN f.tag = u.tag THEN 'resolved' ELSE 'changed' END AS state,
+               CASE WHEN f.tag = u.tag
+                    THEN 'cache-control=max-age=600;content-length=' || f.size || ';content-type=text/html;etag=W/"' || u.tag || '"'
+                    ELSE 'cache-control=max-age=600;etag=W/"' || u.tag || '"' END AS headers
+        FROM u JOIN best b USING (page_id) LEFT JOIN u f ON f.page_id = b.refers_to
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t,
