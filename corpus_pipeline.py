@@ -1,5 +1,83 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; the
+next one reads what it returned from Parquet. All but the last return rows with
+the columns of docs. Null and repeated rows, empty texts and empty tables are
+handled as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from tessera.llm import common, exact_dedup, mixing, near_dedup, packing, quality, queries
+from tessera.session import read_table, share_code
+
+#: Documents score at least this, the probability that they are labelled good.
+QUALITY_THRESHOLD = 0.7
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good."""
+    share_code(spark)
+    return quality.keep_good(docs, queries.quality_model(spark, sf_dir, docs), QUALITY_THRESHOLD)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    share_code(spark)
+    return exact_dedup.survivors(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id; one row of a repeated id."""
+    share_code(spark)
+    groups = near_dedup.near_duplicates(docs)
+    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    key = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(F.lit(""))
+    return left.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    share_code(spark)
+    keys = ["_id", "_source", "_hash"]
+    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
+    mixed = mixed.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").alias("m")
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source").cast("string"), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))}).alias("d")
+    joined = keyed.join(mixed, F.expr(" and ".join(f"d.{k} <=> m.{k}" for k in keys)))
+    # rows equal in id, source and text share what is taken of them
+    rank = F.row_number().over(W.partitionBy(*[f"d.{k}" for k in keys]).orderBy(F.lit(0)))
+    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(rank <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return joined.withColumn("_own", own.cast("int")).where("_own > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*[f"d.{c}" for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences with their token ids."""
+    share_code(spark)
+    pieces = packing.pack(docs, public_tokenizers.path(queries.TOKENIZER))
+    return pieces.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage but the last is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.materialise(docs, name.replace(" ", "-"))
+    return docs
