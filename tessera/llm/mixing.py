@@ -66,7 +66,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text_hash"),
     )
     sized = materialise(sized.withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", "text_hash")), "sizes")
-    sized = sized.withColumn("_bucket", F.pmod("_place", F.lit(buckets)))
+    if buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
+    # the leading bits, so that buckets follow each other as places do
+    sized = sized.withColumn("_bucket", F.shiftright("_place", 65 - buckets.bit_length()))
     queue = ["source", "_bucket"]
     sums = sized.groupBy(*queue).agg(F.sum("size").alias("_sum"))
     within = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

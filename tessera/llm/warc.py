@@ -81,7 +81,8 @@ def resolve_revisits(records: DataFrame, time_parts: int = TIME_PARTS) -> DataFr
     info = F.struct("record_id", F.col("headers"))
     canonical = canonical_url(F.col("url"))
     slim = records.select("record_id", canonical.alias("_url"), F.col("time").alias("_time"), F.col("time").cast("double").alias("_seconds"), "status", "headers").where("status in (200, 304)")
-    bounds = sorted(set(slim.approxQuantile("_seconds", [i / time_parts for i in range(1, time_parts)], 0.25 / time_parts)))
+    shares = [i / time_parts for i in range(1, time_parts)]
+    bounds = sorted(set(slim.approxQuantile("_seconds", shares, 0.25 / time_parts))) if shares else []
     if bounds:
         from pyspark.ml.feature import Bucketizer
 

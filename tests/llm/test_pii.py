@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+from tessera.llm import pii
+from tessera.llm.queries import op6_pii
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def brute(text):
+    found = []
+    for number, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), number, m.end(), kind))
+    return sorted(found)
+
+
+def test_query_against_brute_force(spark):
+    base = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    for r in op6_pii(spark, base).collect():
+        expected = brute(texts[r.doc_id])
+        spans = ",".join(f"{k}:{a}:{b}" for a, _, b, k in expected)
+        assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == name for *_, k in expected) for name, _ in BASE]
+        assert set(filter(None, spans.split(","))) <= set(r.spans.split(","))
+
+
+HARD = [
+    "a@b.co_x@y.zz", "1.2.3.4.5.6.7.8 001.2.3.4 1.2.3.400.5.6.7", "4111 1111 1111 1111", "4111-1111-1111-1111 2", "+1 (617) 555-2870",
+    "a" * 50_000 + "@", "1." * 5_000, "1-" * 9_000, "1 " * 20_000, "0" * 50_000, "+1+1+1 +123456789", "\U0001f600 a@b.co \U0001f600 1.2.3.4",
+    "@@a@b.c..d@e.f", "4111  1111 1111 1111 1111", "0000000000000", "12 34 4111111111111111", "%+a@b-.c-", "", None, "+1 " + " " * 20_000 + "5",
+]
+
+
+def test_hard_texts(spark):
+    frame = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    for r in pii.find_pii(frame).collect():
+        assert [(s.start, s.kind_no, s.end, s.kind) for s in r.spans if s.kind_no < 4] == brute(HARD[r.doc_id])
+
+
+def test_checksums_and_context(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 AND", "GB83 WEST 1234 5698 7654 32", "SSN: 123-45-6789", "part 123-45-6789", "DE89370400440532013000"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans if s.kind_no > 3] for r in pii.find_pii(frame).collect()}
+    assert got == {0: [("iban", "GB82 WEST 1234 5698 7654 32")], 1: [], 2: [("ssn", "123-45-6789")], 3: [], 4: [("iban", "DE89370400440532013000")]}
+    call = spark.createDataFrame([(1, "call me: +1 617 555 2870"), (2, "xxxx xx: +1 617 555 2870")], "doc_id long, text string")
+    scores = {r.doc_id: [s.score for s in r.spans if s.kind == "phone"][0] for r in pii.find_pii(call).collect()}
+    assert scores[1] > scores[2]
+
+
+def test_odd_rows(odd, empty):
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_pii(odd).collect()}
+    assert got[9] == ["email", "card"] and got[1] == got[2] == got[None] == []
+    assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(empty).count() == 0
+    assert {r.doc_id: r.text for r in pii.redact(odd).collect()}[9] == "\U0001f600 café 中文 [email] [card]"
