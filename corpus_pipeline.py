@@ -43,15 +43,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     share_code(spark)
-    keys = ["_id", "_source", "_hash"]
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
-    mixed = mixed.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").alias("m")
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source").cast("string"), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))}).alias("d")
-    joined = keyed.join(mixed, F.expr(" and ".join(f"d.{k} <=> m.{k}" for k in keys)))
+    mixed = mixing.mix(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0").alias("m")
+    # the rows as they are, in one column, so that no name can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("hash"))
+    joined = keyed.join(mixed, F.expr("row.doc_id <=> m.doc_id and row.source <=> m.source and hash = m.text_hash"))
     # rows equal in id, source and text share what is taken of them
-    rank = F.row_number().over(W.partitionBy(*[f"d.{k}" for k in keys]).orderBy(F.lit(0)))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(rank <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_own", own.cast("int")).where("_own > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*[f"d.{c}" for c in docs.columns])
+    rank = F.row_number().over(W.partitionBy("row.doc_id", "row.source", "hash").orderBy(F.lit(0)))
+    own = F.floor(F.col("copies") / F.col("rows")) + F.when(rank <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    turns = joined.withColumn("own", own.cast("int")).where("own > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("own"))))
+    return turns.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
