@@ -175,10 +175,15 @@ def parse_experience_star(c: Column) -> Column:
     return _experience(c, ("không yêu cầu", "chưa có kinh nghiệm", "không cần"), False)
 
 
-def experience_bucket(low: Column) -> Column:
-    """Six ranges of minimal years."""
+def experience_bucket(low: Column, high: Column) -> Column:
+    """Ranges of required years; the first that fits."""
     return (
-        F.when(low.isNull(), "Unspecified").when(low == 0, "0 years").when(low < 1, "Under 1 year").when(low < 3, "1-3 years").when(low < 5, "3-5 years").otherwise("5+ years")
+        F.when((low == 0) & (high.isNull() | (high <= 1)), "0 năm (Fresher/Intern)")
+        .when((low == 1) | (high == 1), "1 năm")
+        .when(low.between(2, 3), "2 - 3 năm")
+        .when((low > 3) & (low <= 5), "3 - 5 năm")
+        .when(low > 5, "Trên 5 năm")
+        .otherwise("Không yêu cầu / Chưa rõ")
     )
 
 
@@ -227,13 +232,17 @@ def refresh_is_active(deadline: Column, is_active: Column, today: Column) -> Col
 
 
 def parse_relative_deadline(c: Column, base: Column) -> Column:
-    """yyyy-MM-dd from "còn N ngày", "N days left", today, hours, or dd/mm/yyyy; else the text itself."""
-    s = F.lower(strip(c))
-    days = F.regexp_extract(s, r"(?U)(?:còn\s*)?(\d+)\s*(?:ngày|days?)", 1).try_cast("int")
-    day, month, year = (F.regexp_extract(s, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", i) for i in (1, 2, 3))
-    written = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
-    found = F.coalesce(F.when(year != "", written), F.date_add(base, days), F.when(contains_any(s, ("hôm nay", "today", "giờ", "hour")), base))
-    return F.when(blank(c), "").otherwise(F.coalesce(F.date_format(found, "yyyy-MM-dd"), strip(c)))
+    """yyyy-MM-dd from days left, "expires today", hours left, or a written day dd/mm/yyyy; empty for anything else."""
+    text = F.coalesce(c, F.lit(""))
+
+    def number(pattern):
+        return F.regexp_extract(text, f"(?iU){pattern}", 1).try_cast("int")
+
+    days = F.coalesce(number(r"(?:còn lại|còn|hết hạn trong|hạn nộp)\s*(\d+)\s*ngày"), number(r"(\d+)\s*days?\s*left"))
+    today = text.rlike(r"(?iU)hôm nay hết hạn|hết hạn hôm nay|expires today|(?:còn|hết hạn trong)\s*\d+\s*(?:giờ|hours?)")
+    day, month, year = (F.regexp_extract(text, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", i) for i in (1, 2, 3))
+    written = F.when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+    return F.coalesce(F.date_format(F.date_add(base, days), "yyyy-MM-dd"), F.when(today, F.date_format(base, "yyyy-MM-dd")), written, F.lit(""))
 
 
 def clean_date(c: Column) -> Column:

@@ -20,7 +20,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 def split_tags(c: Column) -> Column:
     """Tags of 2 to 60 characters from text separated by commas, semicolons, bars, bullets or lines."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|•\n]"), strip)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|•\n]"), lambda t: strip(t))
     return F.filter(parts, lambda t: F.length(t).between(2, 60))
 
 
