@@ -68,10 +68,11 @@ def skill_cooccurrence(t):
     return gold.skill_cooccurrence(t.job_skills, 2)
 
 
-@query("""SELECT seniority, CASE WHEN experience_min IS NULL THEN 'Unspecified' WHEN experience_min = 0 THEN '0 years' WHEN experience_min < 1 THEN 'Under 1 year' WHEN experience_min < 3 THEN '1-3 years' WHEN experience_min < 5 THEN '3-5 years' ELSE '5+ years' END AS experience_bucket,
- city, count(*) AS job_count, round(avg(salary_min_vnd), 0) AS avg_salary_min, round(quantile_cont(salary_max_vnd, 0.5), 4) AS median_salary_max FROM jobs GROUP BY ALL""")
+@query("""SELECT seniority, CASE WHEN experience_min = 0 AND (experience_max IS NULL OR experience_max <= 1) THEN '0 năm (Fresher/Intern)' WHEN experience_min = 1 OR experience_max = 1 THEN '1 năm' WHEN experience_min BETWEEN 2 AND 3 THEN '2 - 3 năm'
+  WHEN experience_min > 3 AND experience_min <= 5 THEN '3 - 5 năm' WHEN experience_min > 5 THEN 'Trên 5 năm' ELSE 'Không yêu cầu / Chưa rõ' END AS experience_bucket,
+ city, salary_type, count(*) AS job_count, round(avg(salary_min_vnd), 0) AS avg_salary_min, round(avg(salary_max_vnd), 0) AS avg_salary_max, round(quantile_cont(salary_min_vnd, 0.5), 0) AS median_salary_min, round(quantile_cont(salary_max_vnd, 0.5), 0) AS median_salary_max FROM jobs GROUP BY ALL""")
 def salary_experience_matrix(t):
-    return gold.salary_experience_matrix(t.jobs).withColumn("median_salary_max", F.round("median_salary_max", 4))
+    return gold.salary_experience_matrix(t.jobs)
 
 
 @query(f"WITH m AS ({_MATRIX}) SELECT seniority, sum(job_count)::BIGINT AS job_count, round(avg(avg_salary_min) / 1e6::DOUBLE, 1) AS avg_min_m, round(avg(avg_salary_max) / 1e6::DOUBLE, 1) AS avg_max_m FROM m GROUP BY 1")
@@ -229,16 +230,21 @@ def _raw_records(t):
     )
 
 
-@query(r"""WITH r AS (SELECT doc_id, doc_id % 7 AS k, length(trim(text, E' \t\n\r\x0b\x0c')) AS n, length(trim(substr(text, 1, 40), E' \t\n\r\x0b\x0c')) AS tn FROM documents),
+_ROUTED = r"""r AS (SELECT doc_id, doc_id % 7 AS k, length(trim(text, E' \t\n\r\x0b\x0c')) AS n, length(trim(substr(text, 1, 40), E' \t\n\r\x0b\x0c')) AS tn FROM documents),
  c AS (SELECT *, k = 1 OR k = 2 OR n < 100 OR tn < 2 AS bad FROM r)
- SELECT CAST(doc_id AS VARCHAR) AS detail_id, CASE WHEN bad THEN 'invalid' WHEN k IN (3, 4, 5, 6) THEN 'quarantine' ELSE 'valid' END AS dq_status,
+,
+ rt AS (SELECT CAST(doc_id AS VARCHAR) AS detail_id, CASE WHEN bad THEN 'invalid' WHEN k IN (3, 4, 5, 6) THEN 'quarantine' ELSE 'valid' END AS dq_status,
   CASE WHEN bad THEN concat_ws(',', CASE WHEN k = 2 THEN 'ERR_MISSING_JOB_URL' END, CASE WHEN tn < 2 THEN 'ERR_MISSING_TITLE' END, CASE WHEN k = 1 THEN 'ERR_MISSING_SOURCE' END, CASE WHEN n < 100 THEN 'ERR_CONTENT_TOO_SHORT' END)
-       ELSE CASE k WHEN 3 THEN 'ERR_SALARY_INVERTED' WHEN 4 THEN 'ERR_SALARY_OUTLIER' WHEN 5 THEN 'ERR_DATE_DEADLINE_BEFORE_PUBLISHED' WHEN 6 THEN 'ERR_DATE_MALFORMED' ELSE '' END END AS errors FROM c""")
+       ELSE CASE k WHEN 3 THEN 'ERR_SALARY_INVERTED' WHEN 4 THEN 'ERR_SALARY_OUTLIER' WHEN 5 THEN 'ERR_DATE_DEADLINE_BEFORE_PUBLISHED' WHEN 6 THEN 'ERR_DATE_MALFORMED' ELSE '' END END AS errors FROM c)"""
+
+
+@query(f"WITH {_ROUTED} SELECT * FROM rt")
 def quality_route(t):
     return quality.route(_raw_records(t)).select("detail_id", "dq_status", F.array_join("dq_errors", ",").alias("errors"))
 
 
-@query()
+@query(f"""WITH {_ROUTED}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE dq_status = 'valid') AS valid, count(*) FILTER (WHERE dq_status = 'quarantine') AS quarantine, count(*) FILTER (WHERE dq_status = 'invalid') AS invalid FROM rt)
+ SELECT *, round(100.0::DOUBLE * valid / total, 2) AS valid_rate, round(100.0::DOUBLE * quarantine / total, 2) AS quarantine_rate, round(100.0::DOUBLE * invalid / total, 2) AS invalid_rate FROM n""")
 def quality_summary(t):
     return quality.summary(quality.route(_raw_records(t)))
 
@@ -296,7 +302,7 @@ def page_titles(t):
     return t.table("pages").select("page_id", src.html_title(F.col("html")).alias("title"))
 
 
-@query()
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title_raw, NULL::VARCHAR AS company_name_raw, NULL::VARCHAR AS salary_raw FROM pages")
 def page_postings(t):
     return src.posting_details(t.table("pages")).select("page_id", "title_raw", "company_name_raw", "salary_raw")
 
@@ -505,7 +511,18 @@ def simulated_events(t):
     return simulate.funnel(simulate.slates(simulate.utilities(affinity)))
 
 
-@query()
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE length(trim(title)) >= 2) AS t, count(*) FILTER (WHERE length(trim(company_name)) >= 2) AS c, count(DISTINCT job_id) AS ids, count(*) FILTER (WHERE salary_min_vnd > salary_max_vnd) AS inv,
+   count(*) FILTER (WHERE published_at < TIMESTAMP '2020-01-01') AS old, count(*) FILTER (WHERE company_id NOT IN (SELECT company_id FROM companies)) AS lost, (SELECT count(*) FROM events) AS snaps, (SELECT count(*) FROM job_skills) AS links,
+   (SELECT count(*) FROM job_skills WHERE skill_id NOT IN (SELECT skill_id FROM skills)) AS lost_skills FROM jobs),
+ r(rule_name, entity_type, severity, source_id, total, passed) AS (
+  SELECT 'CHK_TITLE_NOT_EMPTY', 'job', 'CRITICAL', NULL::INTEGER, n, t FROM n UNION ALL SELECT 'CHK_COMPANY_NAME_NOT_EMPTY', 'company', 'CRITICAL', NULL, n, c FROM n
+  UNION ALL SELECT 'CHK_JD_CONTENT_NOT_EMPTY', 'job_description', 'CRITICAL', NULL, n, n FROM n UNION ALL SELECT 'CHK_VALID_JOB_URL_FORMAT', 'job_source_record', 'ERROR', NULL, n, n FROM n
+  UNION ALL SELECT 'CHK_UNIQUE_SOURCE_JOB_ID', 'job_source_record', 'CRITICAL', NULL, n, ids FROM n UNION ALL SELECT 'CHK_FK_COMPANY_INTEGRITY', 'job', 'CRITICAL', NULL, n, n - lost FROM n
+  UNION ALL SELECT 'CHK_JOB_DESCRIPTION_1TO1_MATCH', 'job_description', 'CRITICAL', NULL, n, n FROM n UNION ALL SELECT 'CHK_SALARY_RANGE_LOGIC', 'job', 'ERROR', NULL, n, n - inv FROM n
+  UNION ALL SELECT 'CHK_DEADLINE_REASONABLE', 'job', 'WARNING', NULL, n, n - old FROM n UNION ALL SELECT 'CHK_SNAPSHOT_COMPLETENESS', 'job_snapshot', 'CRITICAL', NULL, n, least(snaps, n) FROM n
+  UNION ALL SELECT 'CHK_SKILL_FK_INTEGRITY', 'job_skill', 'CRITICAL', NULL, links, links - lost_skills FROM n
+  UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN 'CHK_SOURCE_INGESTION_TOPDEV' ELSE 'CHK_SOURCE_INGESTION_TOPCV' END, 'job_source_record', 'INFO', CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END, count(*), count(*) FROM orders GROUP BY 1, 4)
+ SELECT *, CASE WHEN total > 0 THEN round(100.0::DOUBLE * passed / total, 2) ELSE 100.0 END AS pass_rate, CASE WHEN passed = total THEN 'PASSED' WHEN severity IN ('CRITICAL', 'ERROR') THEN 'FAILED' ELSE 'WARNING' END AS status FROM r""")
 def dq_rules(t):
     jobs, o = t.jobs.withColumn("deadline", F.date_format("published_at", "yyyy-MM-dd")), t.table("orders")
     merged = jobs.select(F.col("title").alias("title_raw"), F.col("company_name").alias("company_name_raw"), F.concat(F.col("title"), F.lit(" description")).alias("responsibilities_raw"), F.lit("").alias("requirements_raw"), F.lit("https://e.com").alias("job_url"), F.lit(1).alias("source_id"), F.col("job_id").cast("string").alias("source_job_id"))
