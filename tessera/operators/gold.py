@@ -61,8 +61,9 @@ def skill_cooccurrence(job_skills: DataFrame, least: int = 5) -> DataFrame:
 
 
 def salary_experience_matrix(jobs: DataFrame) -> DataFrame:
-    bucket = experience_bucket(F.col("experience_min")).alias("experience_bucket")
-    return jobs.groupBy("seniority", bucket, "city").agg(F.count("*").alias("job_count"), _avg0("salary_min_vnd").alias("avg_salary_min"), F.percentile("salary_max_vnd", 0.5).alias("median_salary_max"))
+    bucket = experience_bucket(F.col("experience_min"), F.col("experience_max")).alias("experience_bucket")
+    medians = [F.round(F.percentile(c, 0.5), 0).alias(n) for c, n in (("salary_min_vnd", "median_salary_min"), ("salary_max_vnd", "median_salary_max"))]
+    return jobs.groupBy("seniority", bucket, "city", "salary_type").agg(F.count("*").alias("job_count"), _avg0("salary_min_vnd").alias("avg_salary_min"), _avg0("salary_max_vnd").alias("avg_salary_max"), *medians)
 
 
 def rollup_average(frame: DataFrame, key: str) -> DataFrame:
