@@ -57,11 +57,42 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest vectors of each query. The stated query set is compared with all vectors and must be small enough to send to every task."""
-    unit = F.transform(F.col(vector_col), lambda x: x.cast("double") / F.sqrt(dot(F.col(vector_col), F.col(vector_col))))
-    q = queries.select(F.col(id_col).alias("query_id"), unit.alias("qv"))
-    scored = vectors.select(id_col, unit.alias("dv")).crossJoin(F.broadcast(q)).where(F.col(id_col) != F.col("query_id")).select("query_id", id_col, dot(F.col("qv"), F.col("dv")).alias("similarity"))
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = None, block: int = 1024) -> DataFrame:
+    """query_id, id, similarity and rank of the k nearest vectors of each query, itself left out; ties by id.
+
+    The stated queries are compared with all vectors in blocks of about
+    ``block`` rows: a task multiplies two blocks and keeps each query's k best,
+    so neither side is ever whole in one task. ``digits`` rounds before ranking.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(frame: DataFrame, side: str) -> DataFrame:
+        n = max(1, -(-frame.count() // block))
+        part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n))
+        return frame.groupBy(part).agg(F.collect_list(id_col).alias(f"{side}_ids"), F.collect_list(F.col(vector_col).cast("array<double>")).alias(f"{side}_rows")).select(f"{side}_ids", f"{side}_rows")
+
+    def unit(rows) -> np.ndarray:
+        m = np.array(rows, dtype=float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def multiply(batches):
+        for batch in batches:
+            id_type = batch.column(0).type.value_type
+            for q_ids, q_rows, v_ids, v_rows in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.array(v_ids)
+                order = np.argsort(ids)
+                ids, scores = ids[order], unit(q_rows) @ unit(v_rows)[order].T
+                scores = scores if digits is None else np.round(scores, digits)
+                scores[np.array(q_ids)[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, best, 1)
+                keep = np.isfinite(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])[keep.ravel()], id_type), pa.array(ids[best][keep], id_type), pa.array(found[keep])], ["query_id", id_col, "similarity"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    pairs = blocks(queries, "q").crossJoin(blocks(vectors, "v"))  # of blocks
+    scored = pairs.mapInArrow(multiply, f"query_id {kind}, {id_col} {kind}, similarity double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -347,9 +347,7 @@ def text_query_topk(t):
 def dense_cosine_topk(t):
     """Vectors whose id is divisible by 20 are the stated queries, against all vectors."""
     e = t.table("embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").toDF("query_id", "qv")
-    scored = e.join(q, F.expr("vec_id <> query_id")).select("query_id", "vec_id", F.round(ret.dense_cosine(F.col("qv"), F.col("embedding")), 5).alias("similarity"))
-    return rel.top_k(scored, 10, "similarity", ["vec_id"], ["query_id"])
+    return ret.dense_top_k(e.where("vec_id % 20 = 0"), e, 10, digits=5)
 
 
 _CENTROID = """e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2), nn AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), c AS (SELECT m.label, i, m / n AS c FROM m JOIN nn ON m.label = nn.label)"""
