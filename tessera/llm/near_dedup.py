@@ -37,6 +37,8 @@ BAND = 4
 SMALL = 24
 #: Pairs go if the likelihood at the threshold is so many times e below the best.
 LEAST_LOG_RATIO = 16.0
+#: Eight MB.
+MOST_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -174,12 +176,31 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each place that an id's hash falls on, ``bits`` in all, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents whose ids are given."""
-    texts = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    """(id, shingles) of the documents whose ids are given, and of a few others.
+
+    Texts are not shuffled: each task looks its rows up in a bitmap of at most
+    MOST_BITS bits. A bitmap that is too small for the ids lets more of the others
+    pass, which costs time and loses nothing.
+    """
+    bits = min(MOST_BITS, max(1 << 20, 1 << (64 * ids.count()).bit_length()))
+    bitmap = _bitmap(ids, bits)
+    placed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place"))
 
     def run(batches):
         for batch in batches:
+            place = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for part in chunks(batch, "text"):
                 sets = shingle_sets([t.encode() for t in part.column(1).to_pylist()])
                 offsets = np.zeros(len(sets) + 1, dtype=np.int32)
@@ -187,7 +208,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "shingles"])
 
-    return texts.mapInArrow(run, "id long, shingles array<long>")
+    return placed.mapInArrow(run, "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -209,10 +230,10 @@ def _left_apart(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFram
     early enough in both for that pair.
     """
     ratio = int(round(100 * threshold))
-    items = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    items = sets.select("id", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     common = items.groupBy("shingle").agg(F.count("*").alias("df"))
-    ordered = items.join(common, "shingle").select("id", "n", F.struct("df", "shingle").alias("item"))
-    ordered = ordered.groupBy("id", "n").agg(F.array_sort(F.collect_list("item")).alias("items"))  # at most a text's shingles
+    ordered = items.join(common, "shingle").select("id", "set", "n", F.struct("df", "shingle").alias("item"))
+    ordered = ordered.groupBy("id", "set", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))  # at most a text's shingles
     length = F.col("n") - F.ceil(F.col("n") * ratio / 100) + 1
     prefix = ordered.select("id", "n", F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "item"))
     prefix = prefix.where("item.df > 1").select("id", "n", (F.col("at") + 1).alias("at"), F.col("item.shingle").alias("shingle"))
@@ -256,9 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = materialise(_likely(candidates, classes, threshold), "likely")
     crowded = materialise(members.where(F.col("size") > small).select("id").distinct(), "crowded")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(crowded).distinct()
-    sets = _sets_of(slim, wanted)
-    # an id with several texts has several sets; its classes' ids then stand for all of them
-    sets = materialise(sets.dropDuplicates(["id", "shingles"]), "sets")
+    # an id with several texts has several sets, any of which may make a link
+    sets = materialise(_sets_of(slim, materialise(wanted, "wanted")), "sets")
     links = materialise(_confirmed(likely, sets, threshold).select("a", "b").distinct(), "confirmed")
     if not crowded.isEmpty():
         first = components(links)
