@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 REPO = str(Path(__file__).resolve().parent.parent)
+#: Texts may be long, so batches for Python are bounded by bytes besides rows.
+ARROW_BATCH_BYTES = 16 << 20
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -26,10 +28,11 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def share_code(spark: SparkSession) -> None:
-    """Python workers on hosts that see this checkout import the package from it.
+    """Python workers on hosts that see this checkout import the package from it; their batches are kept small.
 
     Clusters that don't should ship the package with ``--py-files``.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), REPO]))
