@@ -146,39 +146,55 @@ def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, lengths: np.
 
 
 class BlockMaxIndex:
-    """An inverted index of example vectors in blocks, with each term's largest weight in each block."""
+    """An inverted index of example vectors in blocks, with each term's largest weight in each block.
 
-    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
-        self.block, self.n, self.n_blocks = block, n, max(1, -(-n // block))
+    A term that nearly all examples have may be given as ``common``; its weights
+    stand in one array instead of postings.
+    """
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK, common: int = -1):
+        self.block, self.n, self.n_blocks, self.common = block, n, max(1, -(-n // block)), common
+        self.most = np.zeros((n_terms, self.n_blocks))
+        np.maximum.at(self.most, (term, owner // block), weight)
+        self.base = np.zeros(n)
+        self.base[owner[term == common]] = weight[term == common]
+        rare = term != common
+        owner, term, weight = owner[rare], term[rare], weight[rare]
         cell = term * self.n_blocks + owner // block
         order = np.lexsort((owner, cell))
         self.example, self.weight, cell = owner[order], weight[order], cell[order]
         self.starts = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (term, owner // block), weight)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, by cosine and then place, and the cosines."""
         bounds = weight @ self.most[term]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        score = np.zeros(self.n)
-        least, done, step, seen = 0.0, 0, 2, []
+        score = self.base * weight[term == self.common].sum()
+        rare = term != self.common
+        cells, weight = term[rare] * self.n_blocks, weight[rare]
+        if without >= 0:
+            score[without] = -np.inf
+        least, done, step, seen = 0.0, 0, 4, []
         while done < len(order) and bounds[order[done]] >= least - 1e-9:
             own = order[done : done + step]
             own = own[bounds[own] >= least - 1e-9]
-            cells = (term[:, None] * self.n_blocks + own[None, :]).ravel()
-            lengths = self.starts[cells + 1] - self.starts[cells]
-            at = np.repeat(self.starts[cells] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            np.add.at(score, self.example[at], self.weight[at] * np.repeat(np.repeat(weight, len(own)), lengths))
-            seen.append(self.example[at])
+            at_cell = (cells[:, None] + own[None, :]).ravel()
+            first = self.starts[at_cell]
+            lengths = self.starts[at_cell + 1] - first
+            at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            score += np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(weight, len(own)), lengths), minlength=self.n)
+            seen.append((own[:, None] * self.block + np.arange(self.block)[None, :]).ravel())
             done, step = done + len(own), step * 2
-            found = np.unique(np.concatenate(seen))
-            found = found[found != without]
+            found = np.concatenate(seen)
+            found = found[found < self.n]
             seen = [found]
             if len(found) >= k:
-                least = np.partition(score[found], len(found) - k)[len(found) - k]
+                least = max(0.0, np.partition(score[found], len(found) - k)[len(found) - k])
         found = seen[0] if seen else np.zeros(0, dtype=np.int64)
+        found = found[score[found] > 0]
+        if len(found) > 4 * k:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
         best = found[np.lexsort((found, -score[found]))][:k]
         return best, score[best]
 
@@ -271,7 +287,7 @@ def fit(docs: DataFrame, sample: list[tuple[int, str, int]]) -> NearestExamples:
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     owner, term, weight = vectors(owner, term, times, lengths, idf)
-    index = BlockMaxIndex(place[owner], term, weight, len(texts), len(terms) + 1)
+    index = BlockMaxIndex(place[owner], term, weight, len(texts), len(terms) + 1, common=len(terms))
     labels, ids = labels[order], ids[order]
     bare = np.ones(len(texts), dtype=bool)
     bare[place[owner]] = False

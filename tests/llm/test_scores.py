@@ -53,9 +53,13 @@ def test_the_index_finds_what_full_comparison_finds():
     dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     owner, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex(owner, term, dense[owner, term], n, terms)
+    for common in (-1, 7):
+        compare(rng, dense, toxicity.BlockMaxIndex(owner, term, dense[owner, term], n, terms, common=common))
+
+
+def compare(rng, dense, index):
     for _ in range(150):
-        query = rng.random(terms) * (rng.random(terms) < 0.15)
+        query = rng.random(dense.shape[1]) * (rng.random(dense.shape[1]) < 0.15)
         own = np.flatnonzero(query)
         near, cosine = index.nearest(own, query[own], 15)
         full = np.sort(dense @ query)[::-1][:15]
