@@ -10,6 +10,7 @@ contents and keeps the best row of each.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -18,7 +19,6 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 SPACES = bytes([9, 10, 11, 12, 13, 32])
-SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of content that a table may hold.
 TABLE_BYTES = 48_000_000
 FAN_OUT = 16
@@ -65,15 +65,19 @@ def _order(n_chars: int, key: int | None) -> tuple:
     return -n_chars, key is None, key or 0
 
 
+def _hash(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(_normal(text))
+
+
 class Folder:
-    """Folds rows (id, n_chars, text, copies, rest) that have equal contents."""
+    """Folds rows (id, n_chars, text, copies, content's hash, ...) that have equal contents."""
 
     def __init__(self):
         self.table, self.best, self.copies, self.bytes = ContentTable(), [], [], 0
 
     def add(self, row) -> None:
         content = _normal(row[2])
-        number = self.table.slot(xxhash.xxh3_64_intdigest(content), content)
+        number = self.table.slot(row[4] % 2**64, content)
         if number == len(self.best):
             self.best.append(row)
             self.copies.append(row[3])
@@ -132,7 +136,7 @@ def grace(rows, schema: pa.Schema, table_bytes: int, depth: int = 0):
 
     held, sizes = [[] for _ in files], [0] * FAN_OUT
     for row in every():
-        k = (xxhash.xxh3_64_intdigest(_normal(row[2])) >> (60 - 4 * depth)) % FAN_OUT
+        k = (row[4] % 2**64 >> (60 - 4 * depth)) % FAN_OUT
         held[k].append(row)
         sizes[k] += 4 * len(row[2] or "") + 100
         if sizes[k] > 1_000_000:
@@ -156,7 +160,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     Of equal texts the row with the most code points stays, then the one with
     the smallest id (null last); of rows equal in both, any one. Very long texts are
     compared whole. An empty table gives an empty one. Columns of docs keep
-    their names and types; with_copies appends ``_copies``, the group's size.
+    their names and types; with_copies appends ``_copies``, the group's size, and ``_sha256``, the content's digest.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     packed = docs.select(
@@ -164,6 +168,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("long").alias("_n"),
         F.col(f"`{text_col}`").cast("string").alias("_text"),
         F.lit(1).cast("long").alias("_copies"),
+        F.lit(0).cast("long").alias("_hash"),
+        *([F.lit("").alias("_sha256")] if with_copies else []),
         *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []),
     )
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -173,21 +179,23 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     def fold(batches):
         folder = Folder()
         for row in _rows(batches):
-            folder.add(row)
+            hashed = _hash(row[2])
+            folder.add((*row[:4], hashed - 2**64 if hashed >= 2**63 else hashed, *row[5:]))
             if folder.bytes > table_bytes:
                 yield from _batches(folder.rows(), schema)
                 folder = Folder()
         yield from _batches(folder.rows(), schema)
 
     def finish(batches):
-        yield from _batches(grace(_rows(batches), schema, table_bytes), schema)
+        kept = grace(_rows(batches), schema, table_bytes)
+        if with_copies:
+            kept = ((*row[:5], hashlib.sha256(_normal(row[2])).hexdigest(), *row[6:]) for row in kept)
+        yield from _batches(kept, schema)
 
     folded = packed.mapInArrow(fold, packed.schema)
-    content = F.translate(F.coalesce(F.col("_text"), F.lit("")), SPACE_CHARS, "")
-    dealt = folded.repartition(F.xxhash64(content))
-    done = dealt.mapInArrow(finish, packed.schema)
+    done = folded.repartition("_hash").mapInArrow(finish, packed.schema)
     named = {id_col: F.col("_id").cast(docs.schema[id_col].dataType), text_col: F.col("_text")}
-    return done.select(*[named[c].alias(c) if c in named else F.col("_rest")[c].alias(c) for c in docs.columns], *([F.col("_copies")] if with_copies else []))
+    return done.select(*[named[c].alias(c) if c in named else F.col("_rest")[c].alias(c) for c in docs.columns], *([F.col("_copies"), F.col("_sha256")] if with_copies else []))
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -196,10 +204,15 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The groups are formed on complete contents; the rows then find theirs by the
     content's SHA-256. A hot group's rows are split by the join's skew handling.
     """
-    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE_CHARS, ""), 256)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def digests(batches):
+        for batch in batches:
+            found = [hashlib.sha256((t or b"").translate(None, SPACES)).hexdigest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "text_sha256"])
+
     kept = survivors(slim, table_bytes=table_bytes, with_copies=True)
-    groups = kept.select(digest.alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.col("_copies").alias("group_size"))
-    members = slim.select("doc_id", digest.alias("text_sha256"))
+    groups = kept.select(F.col("_sha256").alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.col("_copies").alias("group_size"))
+    members = slim.select("doc_id", F.col("text").cast("binary")).mapInArrow(digests, "doc_id long, text_sha256 string")
     found = members.join(groups, "text_sha256")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -41,12 +41,17 @@ def test_equal_hashes_are_told_apart():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 50), st.text(alphabet="ab \n", max_size=6)), max_size=60))
 def test_recursion_keeps_the_best_row(rows):
-    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_text", pa.string()), ("_copies", pa.int64())])
-    got = list(exact_dedup.grace([(k, len(t), t, 1) for k, t in rows], schema, table_bytes=300))
+    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_text", pa.string()), ("_copies", pa.int64()), ("_hash", pa.int64())])
+    got = list(exact_dedup.grace([(k, len(t), t, 1, signed(t)) for k, t in rows], schema, table_bytes=300))
     expected = {(keep, size) for _, keep, size in brute(rows)}
     assert sorted((r[0], r[3]) for r in got) == sorted((min(g)[2], len(g)) for g in _groups(rows)) and {(r[0], r[3]) for r in got} == expected
 
 
+def signed(text):
+    hashed = exact_dedup._hash(text)
+    return hashed - 2**64 if hashed >= 2**63 else hashed
+
+
 def _groups(rows):
     groups = defaultdict(list)
     for key, text in rows:
