@@ -136,7 +136,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("after"))))
     places = places.otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("after")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("after"))))
     sent = sent.select("doc_id", "text", F.explode(places).alias("_p")).select("doc_id", "text", F.col("_p.r").alias("_range"), F.col("_p.after").alias("_after"))
-    dealt = sent.repartition(parts, "_range").sortWithinPartitions("_range", "_after", "doc_id", "text")
+    # a partition for each range
+    dealt = sent.repartitionById(parts, F.col("_range")).sortWithinPartitions("_range", "_after", "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def digest(run: list[tuple]):
