@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled texts is the set of examples. Terms are words and
-the four- and five-letter pieces of words (with marks at their ends); those that
-go with the label in the sample, by a G-squared test, are the index's vocabulary.
-Their document frequencies are counted over all documents. Every document is
-compared with all examples by the cosine of TF-IDF vectors: an inverted index,
-whose postings lie in blocks of examples, holds each term's largest weight in
-each block, so that blocks which can't hold one of the nearest are skipped; the
-result is that of comparing with every example. The nearest ones vote, weighted
-by distance, and a logistic curve fitted on the examples themselves (each left
-out of its own vote) makes the vote a probability.
+the four- and five-letter pieces of words (with marks at their ends); every term
+of an example is in the vocabulary. Their document frequencies are counted over
+all documents, and a term that goes with either label in the sample, by a
+G-squared test, weighs more. Every document is compared with all examples by the
+cosine of these vectors: frequent terms as one matrix, all others by an inverted
+index whose postings lie in blocks of examples and which holds each term's
+largest weight in each block, so that blocks which can't hold one of the nearest
+are skipped; the result is that of comparing with every example. The nearest ones
+vote, weighted by distance, and a logistic curve fitted on the examples
+themselves (each left out of its own vote) makes the vote a probability.
 """
 
 from __future__ import annotations
@@ -25,13 +26,16 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from .common import chunks
 from .shingles import words
 
-#: Bounds of the fit: labelled rows, their longest text, and the terms kept.
+#: Bounds of the fit: labelled rows and their longest text.
 FIT_ROWS = 6000
 FIT_CHARS = 8000
-TERMS = 1024
-LEAST_G2 = 15.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: At most about so many (term, block) cells; blocks grow with the vocabulary.
+CELLS = 4_000_000
+#: Terms in more than this share of the examples are compared as a matrix, for so many texts at once.
+FREQUENT = 1 / 8
+TOGETHER = 64
 _NOT_WORD = re.compile(r"[^\w\n]+|_+")
 
 
@@ -41,64 +45,45 @@ def _marked(tokens: list[bytes]) -> str:
     return "^" + _NOT_WORD.sub("$^", text).replace("\n", "$\n^") + "$"
 
 
-def _pieces(line: str) -> set[str]:
+def all_terms(texts: list[bytes]) -> list[str]:
+    """Every term of the texts, in order."""
     found = set()
-    for word in line.split("$^") if "$^" in line else [line]:
-        word = "^" + word.strip("^$") + "$"
-        if len(word) > 2:
-            found.add(word)
-            for size in (4, 5):
-                found.update(word[i : i + size] for i in range(len(word) - size + 1))
-    return found
-
-
-def choose_terms(texts: list[str], labels: list[int], most: int = TERMS, least_g2: float = LEAST_G2) -> list[str]:
-    """The terms that go with label 1 most clearly, in at least three texts."""
-    ids: dict[str, int] = {}
-    of_token: dict[bytes, np.ndarray] = {}
-    in_all, in_toxic = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for text, label in zip(texts, labels):
-        found, _ = words([text.encode("utf-8", "replace")])
-        rows = []
-        for token in found.unique().to_pylist():
-            if (known := of_token.get(token)) is None:
-                known = of_token[token] = np.array([ids.setdefault(p, len(ids)) for p in _pieces(_marked([token]))], dtype=np.int64)
-            rows.append(known)
-        if len(ids) > len(in_all):
-            grown = np.zeros(2 * len(ids), dtype=np.int64)
-            grown[: len(in_all)] = in_all
-            toxic = np.zeros(2 * len(ids), dtype=np.int64)
-            toxic[: len(in_toxic)] = in_toxic
-            in_all, in_toxic = grown, toxic
-        own = np.unique(np.concatenate(rows)) if rows else np.zeros(0, dtype=np.int64)
-        in_all[own] += 1
-        if label:
-            in_toxic[own] += 1
-    n, n1 = len(labels), sum(labels)
-    a, b = in_toxic[: len(ids)].astype(float), in_all[: len(ids)].astype(float)
+    for begin in range(0, len(texts), 256):
+        for line in _marked(words(texts[begin : begin + 256])[0].unique().to_pylist()).split("\n"):
+            for word in line.split("$^"):
+                word = "^" + word.strip("^$") + "$"
+                if len(word) > 2:
+                    found.add(word)
+                    for size in (4, 5):
+                        found.update(word[i : i + size] for i in range(len(word) - size + 1))
+    return sorted(found)
+
+
+def association(owner: np.ndarray, term: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """G-squared of each term and the label, over examples; large for terms that go with either label."""
+    n, n1 = len(labels), labels.sum()
+    b = np.bincount(term, minlength=n_terms).astype(float)
+    a = np.bincount(term, labels[owner], minlength=n_terms)
 
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
     g2 = 2 * (part(a, b * n1 / n) + part(b - a, b * (n - n1) / n) + part(n1 - a, (n - b) * n1 / n) + part(n - n1 - b + a, (n - b) * (n - n1) / n))
-    good = (b >= 3) & (a / np.maximum(b, 1) > 2 * n1 / n) & (g2 >= least_g2)
-    names = list(ids)
-    ranked = sorted(np.flatnonzero(good).tolist(), key=lambda i: (-g2[i], names[i]))[:most]
-    return sorted(names[i] for i in ranked)
+    return np.maximum(g2, 0.0)
 
 
 class TermCounter:
     """Counts the vocabulary's terms in whole texts."""
 
     def __init__(self, terms: list[str]):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            self.automaton.add_word(t, i)
+        self.terms = terms
         if terms:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for i, t in enumerate(terms):
+                self.automaton.add_word(t, i)
             self.automaton.make_automaton()
-        self.terms = terms
 
     def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text's place, term, times) for every term of every text, by text and term; and the texts' numbers of words."""
@@ -116,33 +101,29 @@ class TermCounter:
         ends, term = np.array(hits, dtype=np.int64).T
         token = np.searchsorted(line_ends, ends)
         order = np.argsort(token, kind="stable")
-        token, term = token[order], term[order]
-        per_token = np.bincount(token, minlength=len(coded.dictionary))
+        token, flat = token[order], term[order]
+        n_tokens = len(coded.dictionary)
+        per_token = np.bincount(token, minlength=n_tokens)
         first = np.cumsum(per_token) - per_token
-        place = coded.indices.to_numpy()
-        at = np.flatnonzero(per_token[place])
-        times = per_token[place[at]]
-        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        terms = term[np.repeat(first[place[at]], times) + inner]
-        owner = np.repeat(np.searchsorted(begins, at, side="right") - 1, times)
-        keys, counts = np.unique(owner * len(self.terms) + terms, return_counts=True)
-        return keys // len(self.terms), keys % len(self.terms), counts, lengths
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        pairs, repeats = np.unique(owner * n_tokens + coded.indices.to_numpy(), return_counts=True)
+        owner, token = pairs // n_tokens, pairs % n_tokens
+        size = per_token[token]
+        at = np.repeat(first[token] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keys, where = np.unique(np.repeat(owner, size) * len(self.terms) + flat[at], return_inverse=True)
+        return keys // len(self.terms), keys % len(self.terms), np.bincount(where, np.repeat(repeats, size), minlength=len(keys)).astype(np.int64), lengths
 
 
 def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The L2-normalised TF-IDF vectors of counted texts, as (owner, term, weight) by owner.
 
-    tf is ten times the root of the term's share of the words. All other words
-    count as one more term, of weight 1 + ln(words), so that a text in which the
-    vocabulary is rare differs from one that is full of it. A text without any
-    term of the vocabulary has no vector.
+    tf is the root of the term's count. Terms that no example has match nothing
+    and are left out of the norm too. A text without any term of the vocabulary
+    has no vector.
     """
-    bearers = np.unique(owner)
-    weight = np.concatenate([10 * np.sqrt(times / lengths[owner]) * idf[term], 1 + np.log(lengths[bearers])]) if len(owner) else np.zeros(0)
-    owner, term = np.concatenate([owner, bearers]), np.concatenate([term, np.full(len(bearers), len(idf))])
-    norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(lengths))) if len(owner) else np.zeros(0)
-    order = np.lexsort((term, owner))
-    return owner[order], term[order], (weight / norm[owner])[order]
+    weight = np.sqrt(times) * idf[term]
+    norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(lengths)))
+    return owner, term, weight / norm[owner]
 
 
 class BlockMaxIndex:
@@ -162,15 +143,23 @@ class BlockMaxIndex:
         owner, term, weight = owner[rare], term[rare], weight[rare]
         cell = term * self.n_blocks + owner // block
         order = np.lexsort((owner, cell))
-        self.example, self.weight, cell = owner[order], weight[order], cell[order]
-        self.starts = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
+        self.example, self.weight = owner[order].astype(np.int32), weight[order]
+        self.starts = np.zeros(n_terms * self.n_blocks + 1, dtype=np.int64)
+        np.cumsum(np.bincount(cell, minlength=n_terms * self.n_blocks), out=self.starts[1:])
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive cosine, by cosine and then place, and the cosines.
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, by cosine and then place, and the cosines."""
+        ``given`` is what terms outside of the index add to each example's cosine.
+        """
         bounds = weight @ self.most[term]
+        if given is not None:
+            bounds = bounds + np.maximum.reduceat(given, np.arange(0, self.n, self.block))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         score = self.base * weight[term == self.common].sum()
+        if given is not None:
+            score = score + given
         rare = term != self.common
         cells, weight = term[rare] * self.n_blocks, weight[rare]
         if without >= 0:
@@ -199,11 +188,41 @@ class BlockMaxIndex:
         return best, score[best]
 
 
+class ExampleIndex:
+    """All terms of the examples: the frequent ones as a matrix, the others in a block-max index."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
+        frequent = np.bincount(term, minlength=n_terms) > max(1.0, n * FREQUENT)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), n))
+        common = frequent[term]
+        self.dense[self.row[term[common]], owner[common]] = weight[common]
+        rare = ~common
+        block = max(BLOCK, -(-n * n_terms // CELLS))
+        self.index = BlockMaxIndex(owner[rare], term[rare], weight[rare], n, n_terms, block=block)
+
+    def nearest(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_texts: int, k: int, without: np.ndarray | None = None):
+        """(text's place, nearest examples, cosines) of each text with a vector; ``without`` names one example for each that doesn't count."""
+        firsts = np.searchsorted(owner, np.arange(n_texts + 1))
+        for begin in range(0, n_texts, TOGETHER):
+            end = min(begin + TOGETHER, n_texts)
+            a, b = firsts[begin], firsts[end]
+            row = self.row[term[a:b]]
+            queries = np.zeros((end - begin, len(self.dense)))
+            queries[owner[a:b][row >= 0] - begin, row[row >= 0]] = weight[a:b][row >= 0]
+            given = queries @ self.dense
+            for i in range(begin, end):
+                own = slice(firsts[i], firsts[i + 1])
+                if own.start < own.stop:
+                    rare = self.row[term[own]] < 0
+                    yield i, *self.index.nearest(term[own][rare], weight[own][rare], k, -1 if without is None else int(without[i]), given[i - begin])
+
+
 @dataclasses.dataclass
 class NearestExamples:
     terms: list[str]
     idf: np.ndarray
-    index: BlockMaxIndex | None
+    index: ExampleIndex | None
     labels: np.ndarray
     ids: np.ndarray
     prior: float
@@ -234,17 +253,14 @@ class NearestExamples:
         votes, evidence = np.full(len(texts), self.prior_without), [[] for _ in texts]
         if self.index is not None:
             owner, term, weight = vectors(*self.counter().count(texts), self.idf)
-            firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            for i in np.flatnonzero(np.diff(firsts)).tolist():
-                a, b = firsts[i], firsts[i + 1]
-                near, cosine = self.index.nearest(term[a:b], weight[a:b], NEIGHBOURS)
+            for i, near, cosine in self.index.nearest(owner, term, weight, len(texts), NEIGHBOURS):
                 votes[i] = self.vote(near, cosine) if len(near) else self.prior_without
                 evidence[i] = [{"example_id": int(self.ids[j]), "label": int(self.labels[j]), "cosine": float(c)} for j, c in zip(near.tolist(), cosine.tolist())]
         return self.calibrated(votes), evidence
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many have each term; each task sends one row."""
+    """How many documents there are, and how many have each term; each task sends a row for each term it met."""
     slim = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
@@ -254,15 +270,13 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
                 _, term, _, _ = counter.count([t.encode() for t in part.column(0).to_pylist()])
                 df += np.bincount(term, minlength=len(terms))
                 total += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], ["total", "df"])
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int64()), pa.array(np.append(df[met], total), pa.int64())], ["term", "n"])
 
-    counted = slim.mapInArrow(run, "total long, df array<long>")
-    rows = counted.select("total", F.posexplode_outer("df").alias("term", "n")).groupBy("term").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()  # a row per term
-    df = np.zeros(len(terms), dtype=np.int64)
-    for r in rows:
-        if r["term"] is not None:
-            df[r["term"]] = r["n"]
-    return (int(rows[0]["total"] or 0) if rows else 0), df
+    counted = slim.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term, and the total at -1
+    df = np.zeros(len(terms) + 1, dtype=np.int64)
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return int(df[-1]), df[:-1]
 
 
 def fit(docs: DataFrame, sample: list[tuple[int, str, int]]) -> NearestExamples:
@@ -273,32 +287,36 @@ def fit(docs: DataFrame, sample: list[tuple[int, str, int]]) -> NearestExamples:
     ids, texts, labels = np.array([s[0] for s in sample], dtype=np.int64), [s[1] for s in sample], np.array([s[2] for s in sample], dtype=float)
     prior = float(labels.mean()) if len(labels) else 0.5
     blank = NearestExamples([], np.zeros(0), None, labels, ids, prior, prior_without=prior)
-    if len(set(labels.tolist())) < 2 or not (terms := choose_terms(texts, labels.astype(int).tolist())):
+    if len(set(labels.tolist())) < 2:
+        return blank
+    own = [t.encode("utf-8", "replace") for t in texts]
+    if not (terms := all_terms(own)):
         return blank
     total, df = document_frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    counter = TermCounter(terms)
-    # examples that share their rarest term lie together, which keeps the blocks' bounds low
-    owner, term, times, lengths = counter.count([t.encode("utf-8", "replace") for t in texts])
+    counter, parts, words_of = TermCounter(terms), [], []
+    for begin in range(0, len(own), 256):
+        owner, term, times, lengths = counter.count(own[begin : begin + 256])
+        parts.append(((owner + begin).astype(np.int32), term.astype(np.int32), times.astype(np.int32)))
+        words_of.append(lengths)
+    owner, term, times = (np.concatenate(p) for p in zip(*parts))
+    lengths = np.concatenate(words_of)
+    idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + association(owner, term, labels, len(terms)))
+    owner, term, weight = vectors(owner, term, times, lengths, idf)
+    # examples that share their heaviest term lie together, which keeps the blocks' bounds low
     lead = np.full(len(texts), len(terms))
-    rarest = np.lexsort((df[term], owner))
-    lead[owner[rarest][::-1]] = term[rarest][::-1]
+    heaviest = np.lexsort((weight, owner))
+    lead[owner[heaviest]] = term[heaviest]
     order = np.lexsort((ids, lead))
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    owner, term, weight = vectors(owner, term, times, lengths, idf)
-    index = BlockMaxIndex(place[owner], term, weight, len(texts), len(terms) + 1, common=len(terms))
-    labels, ids = labels[order], ids[order]
+    index = ExampleIndex(place[owner], term.astype(np.int64), weight, len(texts), len(terms))
     bare = np.ones(len(texts), dtype=bool)
-    bare[place[owner]] = False
+    bare[owner] = False
     without = (labels[bare].sum() + prior) / (bare.sum() + 1)
-    model = dataclasses.replace(blank, terms=terms, idf=idf, index=index, labels=labels, ids=ids, prior_without=float(without))
+    model = dataclasses.replace(blank, terms=terms, idf=idf, index=index, labels=labels[order], ids=ids[order], prior_without=float(without))
     votes = np.full(len(texts), float(without))
-    firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for i in np.flatnonzero(np.diff(firsts)).tolist():
-        a, b = firsts[i], firsts[i + 1]
-        near, cosine = index.nearest(term[a:b], weight[a:b], NEIGHBOURS, without=int(place[i]))
-        votes[place[i]] = model.vote(near, cosine) if len(near) else without
+    for i, near, cosine in index.nearest(owner, term, weight, len(texts), NEIGHBOURS, without=place):
+        votes[i] = model.vote(near, cosine) if len(near) else without
     from .quality import _logistic
 
     logit = np.log(np.clip(votes, 1e-6, 1 - 1e-6) / np.clip(1 - votes, 1e-6, 1 - 1e-6))

@@ -73,3 +73,28 @@ def test_terms_are_counted_in_whole_texts():
     got = {(int(o), counter.terms[t]): int(n) for o, t, n in zip(owner, term, times)}
     assert got == {(0, "^idiot$"): 2, (0, "^idio"): 2, (0, "fool"): 1, (2, "^idio"): 1, (2, "fool"): 2}
     assert lengths.tolist() == [3, 0, 3]
+
+
+def test_rare_terms_and_balanced_samples_have_neighbours(spark, odd):
+    for toxic in (30, 15):
+        sample = [(i, f"good text number {i} of many", 0) for i in range(60 - toxic)] + [(100 + i, "BAD!! WORD!! " * (i + 1), 1) for i in range(toxic)]
+        sample += [(500, "zanzibar quetzal", 1)]
+        model = toxicity.fit(odd, sample)
+        scores, evidence = model.score([b"quetzal", b"bad word", b"good text number 3 of many", b""])
+        # a word of a single example is matched, and clean examples are neighbours
+        assert [(e["example_id"], e["label"]) for e in evidence[0]] == [(500, 1)]
+        assert {e["label"] for e in evidence[1]} == {1} and evidence[2][0]["example_id"] == 3 and evidence[2][0]["cosine"] > 1 - 1e-9
+        assert evidence[3] == [] and scores[1] > 0.5 > scores[2]
+
+
+def test_all_terms_of_the_examples_are_compared(odd):
+    texts = [f"alpha beta w{i % 7} only{i} gamma{i % 3} " * (1 + i % 4) for i in range(200)]
+    sample = [(i, t, int(i % 7 == 0)) for i, t in enumerate(texts)]
+    model = toxicity.fit(odd, sample)
+    owner, term, weight = toxicity.vectors(*model.counter().count([t.encode() for t in texts]), model.idf)
+    dense = np.zeros((len(texts), len(model.terms)))
+    dense[owner, term] = weight
+    _, evidence = model.score([t.encode() for t in texts])
+    for row, found in zip(dense @ dense.T, evidence):
+        assert np.allclose([e["cosine"] for e in found], np.sort(row)[::-1][:15])
+        assert np.allclose([row[e["example_id"]] for e in found], [e["cosine"] for e in found])
