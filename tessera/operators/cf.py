@@ -103,15 +103,21 @@ def _half_step(pairs: DataFrame, solve_for: str, given: str, factors: DataFrame,
 
 
 def als(pairs: DataFrame, k: int = 8, reg: float = 0.1, alpha: float = 1.0, rounds: int = 12, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(user factors, job factors) as (id, factors) of implicit ALS with unscaled regularisation."""
+    """(user factors, job factors) as (id, factors) of implicit ALS with unscaled regularisation.
+
+    Factors are checkpointed each half round, to the shared folder if one is set, so lineage stays short.
+    """
     uniform = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "job_id"), F.lit(2**40)) + 0.5) / 2.0**40 for i in range(2 * k)]
     normal = [F.sqrt(-2 * F.log(uniform[2 * i])) * F.cos(2 * np.pi * uniform[2 * i + 1]) * 0.01 for i in range(k)]
     jobs = pairs.select("job_id").distinct().select(F.col("job_id").alias("id"), F.array(*normal).alias("factors"))
     pairs = pairs.persist()
+    can_checkpoint = pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     users = None
     for _ in range(rounds):
-        users = _half_step(pairs, "user_id", "job_id", jobs, k, alpha, reg).persist()
-        jobs = _half_step(pairs, "job_id", "user_id", users, k, alpha, reg).persist()
+        users = _half_step(pairs, "user_id", "job_id", jobs, k, alpha, reg)
+        users = users.checkpoint() if can_checkpoint else users.localCheckpoint()
+        jobs = _half_step(pairs, "job_id", "user_id", users, k, alpha, reg)
+        jobs = jobs.checkpoint() if can_checkpoint else jobs.localCheckpoint()
     return users, jobs
 
 

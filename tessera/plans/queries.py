@@ -499,7 +499,7 @@ def link_components(t):
 @query()
 def als_scores(t):
     pairs = cf.interactions(t.events, WEIGHTS)
-    users, jobs = cf.als(pairs, rounds=3)
+    users, jobs = cf.als(pairs)
     return cf.cf_scores(pairs.select("user_id", "job_id"), users, jobs)
 
 

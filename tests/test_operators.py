@@ -142,6 +142,13 @@ def test_als_and_fold_in(spark):
         cf.checked_events(spark.createDataFrame([("like",)], "event string")).collect()
 
 
+def test_als_query_runs_all_rounds(spark, monkeypatch):
+    ran, step = [], cf._half_step
+    monkeypatch.setattr(cf, "_half_step", lambda pairs, solve_for, *rest: ran.append(solve_for) or step(pairs, solve_for, *rest))
+    assert plans.QUERIES["als_scores"](spark, SF).columns == ["user_id", "job_id", "score"]
+    assert ran == ["user_id", "job_id"] * 12
+
+
 def test_hybrid(spark):
     rows = [(1, i, c, f, a) for i, (c, f, a) in enumerate(zip((0.9, 0.5, 0.4, 0.3, 0.8), (None, 0.0, 0.0, 5.0, 0.0), (True, True, True, True, False)))]
     frame = spark.createDataFrame(rows, "user_id int, job_id int, cbf double, cf double, is_active boolean")
