@@ -31,13 +31,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; one row of a repeated id."""
+    """One document of each group of near-duplicates, that with the smallest id; one row of those equal in id and text.
+
+    Different texts of one id are documents of their own. All but the first of
+    them, by hash, come after all ids. Of equal rows the least one stays.
+    """
     share_code(spark)
-    groups = near_dedup.near_duplicates(docs)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    key = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(F.lit(""))
-    return left.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+    # the rows as they are, in one column, so that no name can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("hash", F.sha2(F.coalesce("row.text", F.lit("")), 256)).withColumn("key", F.col("row.doc_id").cast("long"))
+    texts = keyed.where("key is not null").select("key", "hash").distinct()
+    further = common.materialise(texts.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("hash"))).where("at > 1").select("key", "hash"), "further-texts")
+    if not further.isEmpty():
+        most = F.lit(keyed.agg(F.max("key")).first()[0])
+        numbers = further.withColumn("number", most + F.row_number().over(W.orderBy("key", "hash")))
+        keyed = keyed.join(numbers, ["key", "hash"], "left").select("row", "hash", F.coalesce("number", "key").alias("key"))
+    groups = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
+    left = keyed.join(dropped, "key", "left_anti").groupBy("key", "hash").agg(F.min("row").alias("row"))
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import hashlib
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import mixing
@@ -58,3 +60,17 @@ def test_odd_rows(spark, odd, empty):
             got.collect()
     assert corpus_pipeline.filter_quality(spark, odd, BASE).columns == odd.columns
     assert corpus_pipeline.pack_sequences(spark, odd, BASE).count() >= odd.count()
+
+
+def test_different_texts_of_one_id_stay(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other, third = " ".join(words), " ".join(reversed(words)), " ".join(w + "x" for w in words)
+    rows = [(1, one), (1, other), (2, one + " more"), (3, other + " more"), (4, third), (4, third), (None, "a"), (None, "a"), (None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.monotonically_increasing_id())
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, BASE).collect()))
+    first = min(one, other, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    # of each group one text stays: that of the smallest number; the further text of id 1 comes after all ids
+    expected = [(1, one), (3, other + " more")] if first == one else [(1, other), (2, one + " more")]
+    assert got == sorted([(0, "a"), (0, "b"), (4, third), *expected])
+    apart = spark.createDataFrame([(1, one), (1, other)], "doc_id long, text string")
+    assert {r.text for r in corpus_pipeline.drop_near_copies(spark, apart, BASE).collect()} == {one, other}
