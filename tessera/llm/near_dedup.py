@@ -7,7 +7,8 @@ registers' maximum. The steps:
 
 1. Documents with equal sets form a class, whose smallest id stands for it.
 2. Bands of BAND registers are hashed; classes that share a band are candidates.
-   At a similarity of 0.75 the chance to share none is about 5e-6.
+   At a similarity of 0.75 the chance to share none is about 5e-6 from 12
+   shingles on; it is larger for smaller sets, whose registers are not independent.
 3. In a bucket of at most SMALL classes every pair is a candidate. In a larger
    one each class is a candidate with the bucket's centre; then an exact prefix
    filter over the classes of larger buckets finds the pairs that the centres
