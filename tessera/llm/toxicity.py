@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled texts is the set of examples. Terms are words and
-the four- and five-letter pieces of words (with marks at their ends); every term
-of an example is in the vocabulary. Their document frequencies are counted over
-all documents, and a term that goes with either label in the sample, by a
-G-squared test, weighs more. Every document is compared with all examples by the
-cosine of these vectors: frequent terms as one matrix, all others by an inverted
-index whose postings lie in blocks of examples and which holds each term's
-largest weight in each block, so that blocks which can't hold one of the nearest
-are skipped; the result is that of comparing with every example. The nearest ones
-vote, weighted by distance, and a logistic curve fitted on the examples
-themselves (each left out of its own vote) makes the vote a probability.
+the first four and six letters of longer words, which stand for their stems;
+every term of an example is in the vocabulary. Their document frequencies are
+counted over all documents, and a term that goes with either label in the
+sample, by a G-squared test, weighs more. Every document is compared with all
+examples by the cosine of these vectors: frequent terms as one matrix, all
+others by an inverted index whose postings lie in blocks of examples and which
+holds each term's largest weight in each block it occurs in, so that blocks
+which can't hold one of the nearest are skipped; the result is that of comparing
+with every example. The nearest ones vote, weighted by distance, and a logistic
+curve makes the vote a probability. The curve is fitted on examples that had no
+part in the weights and the index which they were compared by.
 """
 
 from __future__ import annotations
@@ -29,33 +30,30 @@ from .shingles import words
 #: Bounds of the fit: labelled rows and their longest text.
 FIT_ROWS = 6000
 FIT_CHARS = 8000
-NEIGHBOURS = 15
-BLOCK = 64
-#: At most about so many (term, block) cells; blocks grow with the vocabulary.
-CELLS = 4_000_000
+NEIGHBOURS = 32
+FOLDS = 5
+BLOCK = 128
+#: Letters of the stems.
+STEMS = (4, 6)
 #: Terms in more than this share of the examples are compared as a matrix, for so many texts at once.
 FREQUENT = 1 / 8
 TOGETHER = 64
 _NOT_WORD = re.compile(r"[^\w\n]+|_+")
 
 
-def _marked(tokens: list[bytes]) -> str:
-    """Each token on a line, as ^word$ for each of its words."""
-    text = b"\n".join(tokens).decode("utf-8", "replace").lower()
-    return "^" + _NOT_WORD.sub("$^", text).replace("\n", "$\n^") + "$"
+def _lines(tokens: list[bytes]) -> list[str]:
+    """The words of each token, with blanks between."""
+    return _NOT_WORD.sub(" ", b"\n".join(tokens).decode("utf-8", "replace").lower()).split("\n")
 
 
 def all_terms(texts: list[bytes]) -> list[str]:
-    """Every term of the texts, in order."""
+    """Every term of the texts, in order; stems end with an asterisk."""
     found = set()
     for begin in range(0, len(texts), 256):
-        for line in _marked(words(texts[begin : begin + 256])[0].unique().to_pylist()).split("\n"):
-            for word in line.split("$^"):
-                word = "^" + word.strip("^$") + "$"
-                if len(word) > 2:
-                    found.add(word)
-                    for size in (4, 5):
-                        found.update(word[i : i + size] for i in range(len(word) - size + 1))
+        for line in _lines(words(texts[begin : begin + 256])[0].unique().to_pylist()):
+            for word in line.split():
+                found.add(word)
+                found.update(word[:size] + "*" for size in STEMS if len(word) > size)
     return sorted(found)
 
 
@@ -77,44 +75,39 @@ class TermCounter:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        if terms:
-            import ahocorasick
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = [{t[:-1]: i for i, t in enumerate(terms) if t.endswith("*") and len(t) == size + 1} for size in STEMS]
 
-            self.automaton = ahocorasick.Automaton()
-            for i, t in enumerate(terms):
-                self.automaton.add_word(t, i)
-            self.automaton.make_automaton()
-
-    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text's place, term, times) for every term of every text, by text and term; and the texts' numbers of words."""
-        none = np.zeros(0, dtype=np.int64)
+    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text's place, term, times) for every term of every text, by text and term."""
         found, begins = words(texts)
-        lengths = np.diff(begins)
-        if not self.terms or not len(found):
-            return none, none, none, lengths
         coded = found.dictionary_encode()
-        marked = _marked(coded.dictionary.to_pylist())
-        line_ends = np.flatnonzero(np.array([c == "\n" for c in marked])) if not marked.isascii() else np.flatnonzero(np.frombuffer(marked.encode(), dtype=np.uint8) == 10)
-        hits = list(self.automaton.iter(marked))
-        if not hits:
-            return none, none, none, lengths
-        ends, term = np.array(hits, dtype=np.int64).T
-        token = np.searchsorted(line_ends, ends)
-        order = np.argsort(token, kind="stable")
-        token, flat = token[order], term[order]
+        by_word, by_stem = self.words.get, [(size, own.get) for size, own in zip(STEMS, self.stems)]
+        flat, token = [], []
+        for i, line in enumerate(_lines(coded.dictionary.to_pylist())) if len(found) else ():
+            for word in line.split():
+                own = [by_word(word), *(get(word[:size]) for size, get in by_stem if len(word) > size)]
+                for term in own:
+                    if term is not None:
+                        flat.append(term)
+                        token.append(i)
+        if not flat:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none
+        flat = np.array(flat, dtype=np.int64)
         n_tokens = len(coded.dictionary)
         per_token = np.bincount(token, minlength=n_tokens)
         first = np.cumsum(per_token) - per_token
-        owner = np.repeat(np.arange(len(texts)), lengths)
+        owner = np.repeat(np.arange(len(texts)), np.diff(begins))
         pairs, repeats = np.unique(owner * n_tokens + coded.indices.to_numpy(), return_counts=True)
         owner, token = pairs // n_tokens, pairs % n_tokens
         size = per_token[token]
         at = np.repeat(first[token] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         keys, where = np.unique(np.repeat(owner, size) * len(self.terms) + flat[at], return_inverse=True)
-        return keys // len(self.terms), keys % len(self.terms), np.bincount(where, np.repeat(repeats, size), minlength=len(keys)).astype(np.int64), lengths
+        return keys // len(self.terms), keys % len(self.terms), np.bincount(where, np.repeat(repeats, size), minlength=len(keys)).astype(np.int64)
 
 
-def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The L2-normalised TF-IDF vectors of counted texts, as (owner, term, weight) by owner.
 
     tf is the root of the term's count. Terms that no example has match nothing
@@ -122,65 +115,58 @@ def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, lengths: np.
     has no vector.
     """
     weight = np.sqrt(times) * idf[term]
-    norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(lengths)))
-    return owner, term, weight / norm[owner]
+    norm = np.sqrt(np.bincount(owner, weight * weight))
+    return owner, term, weight / norm[owner] if len(owner) else weight
 
 
 class BlockMaxIndex:
-    """An inverted index of example vectors in blocks, with each term's largest weight in each block.
+    """An inverted index of example vectors in blocks.
 
-    A term that nearly all examples have may be given as ``common``; its weights
-    stand in one array instead of postings.
+    A term has a cell for each block that it occurs in, with its largest weight
+    there and its postings.
     """
 
-    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK, common: int = -1):
-        self.block, self.n, self.n_blocks, self.common = block, n, max(1, -(-n // block)), common
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (term, owner // block), weight)
-        self.base = np.zeros(n)
-        self.base[owner[term == common]] = weight[term == common]
-        rare = term != common
-        owner, term, weight = owner[rare], term[rare], weight[rare]
-        cell = term * self.n_blocks + owner // block
-        order = np.lexsort((owner, cell))
-        self.example, self.weight = owner[order].astype(np.int32), weight[order]
-        self.starts = np.zeros(n_terms * self.n_blocks + 1, dtype=np.int64)
-        np.cumsum(np.bincount(cell, minlength=n_terms * self.n_blocks), out=self.starts[1:])
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
+        self.block, self.n, self.n_blocks = block, n, max(1, -(-n // block))
+        order = np.lexsort((owner, term))
+        owner, term = owner[order].astype(np.int32), term[order].astype(np.int32)
+        self.example, self.weight = owner, weight[order]
+        in_block = owner // block
+        new = np.ones(len(owner), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (in_block[1:] != in_block[:-1])
+        first = np.flatnonzero(new).astype(np.int32)
+        self.cell_block = in_block[first].astype(np.int32)
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.cell_first = np.append(first, np.int32(len(owner)))
+        self.term_first = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, by cosine and then place, and the cosines.
 
         ``given`` is what terms outside of the index add to each example's cosine.
         """
-        bounds = weight @ self.most[term]
+        cells, factor = _spread(self.term_first, term, weight)
+        place = self.cell_block[cells]
+        bounds = np.bincount(place, self.cell_most[cells] * factor, minlength=self.n_blocks)
+        score = np.zeros(self.n) if given is None else given.astype(float)
         if given is not None:
-            bounds = bounds + np.maximum.reduceat(given, np.arange(0, self.n, self.block))
+            bounds = bounds + np.maximum.reduceat(score, np.arange(0, self.n, self.block))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        score = self.base * weight[term == self.common].sum()
-        if given is not None:
-            score = score + given
-        rare = term != self.common
-        cells, weight = term[rare] * self.n_blocks, weight[rare]
-        if without >= 0:
-            score[without] = -np.inf
-        least, done, step, seen = 0.0, 0, 4, []
+        least, done, step, found = 0.0, 0, 4, np.zeros(0, dtype=np.int64)
         while done < len(order) and bounds[order[done]] >= least - 1e-9:
             own = order[done : done + step]
             own = own[bounds[own] >= least - 1e-9]
-            at_cell = (cells[:, None] + own[None, :]).ravel()
-            first = self.starts[at_cell]
-            lengths = self.starts[at_cell + 1] - first
-            at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            score += np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(weight, len(own)), lengths), minlength=self.n)
-            seen.append((own[:, None] * self.block + np.arange(self.block)[None, :]).ravel())
-            done, step = done + len(own), step * 2
-            found = np.concatenate(seen)
+            chosen = np.zeros(self.n_blocks, dtype=bool)
+            chosen[own] = True
+            picked = chosen[place]
+            at, by = _spread(self.cell_first, cells[picked], factor[picked])
+            score += np.bincount(self.example[at], self.weight[at] * by, minlength=self.n)
+            found = np.concatenate([found, (own[:, None] * self.block + np.arange(self.block)[None, :]).ravel()])
             found = found[found < self.n]
-            seen = [found]
+            done, step = done + len(own), step * 2
             if len(found) >= k:
                 least = max(0.0, np.partition(score[found], len(found) - k)[len(found) - k])
-        found = seen[0] if seen else np.zeros(0, dtype=np.int64)
         found = found[score[found] > 0]
         if len(found) > 4 * k:
             found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
@@ -188,34 +174,41 @@ class BlockMaxIndex:
         return best, score[best]
 
 
+def _spread(firsts: np.ndarray, which: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places firsts[w] to firsts[w + 1] of each w of which, and its value for each of them."""
+    begin = firsts[which].astype(np.int64)
+    sizes = firsts[which + 1] - begin
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), np.repeat(value, sizes)
+
+
 class ExampleIndex:
     """All terms of the examples: the frequent ones as a matrix, the others in a block-max index."""
 
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
         frequent = np.bincount(term, minlength=n_terms) > max(1.0, n * FREQUENT)
-        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
         self.dense = np.zeros((int(frequent.sum()), n))
         common = frequent[term]
         self.dense[self.row[term[common]], owner[common]] = weight[common]
         rare = ~common
-        block = max(BLOCK, -(-n * n_terms // CELLS))
-        self.index = BlockMaxIndex(owner[rare], term[rare], weight[rare], n, n_terms, block=block)
-
-    def nearest(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_texts: int, k: int, without: np.ndarray | None = None):
-        """(text's place, nearest examples, cosines) of each text with a vector; ``without`` names one example for each that doesn't count."""
-        firsts = np.searchsorted(owner, np.arange(n_texts + 1))
-        for begin in range(0, n_texts, TOGETHER):
-            end = min(begin + TOGETHER, n_texts)
+        self.index = BlockMaxIndex(owner[rare], term[rare], weight[rare], n, n_terms)
+
+    def nearest(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int):
+        """(text's place, nearest examples, cosines) of each text with a vector."""
+        places, firsts = np.unique(owner, return_index=True)
+        firsts = np.append(firsts, len(owner))
+        for begin in range(0, len(places), TOGETHER):
+            end = min(begin + TOGETHER, len(places))
             a, b = firsts[begin], firsts[end]
             row = self.row[term[a:b]]
-            queries = np.zeros((end - begin, len(self.dense)))
-            queries[owner[a:b][row >= 0] - begin, row[row >= 0]] = weight[a:b][row >= 0]
+            # of one size always, so that a text's products don't depend on its neighbours
+            queries = np.zeros((TOGETHER, len(self.dense)))
+            queries[np.repeat(np.arange(end - begin), np.diff(firsts[begin : end + 1]))[row >= 0], row[row >= 0]] = weight[a:b][row >= 0]
             given = queries @ self.dense
             for i in range(begin, end):
                 own = slice(firsts[i], firsts[i + 1])
-                if own.start < own.stop:
-                    rare = self.row[term[own]] < 0
-                    yield i, *self.index.nearest(term[own][rare], weight[own][rare], k, -1 if without is None else int(without[i]), given[i - begin])
+                rare = self.row[term[own]] < 0
+                yield int(places[i]), *self.index.nearest(term[own][rare], weight[own][rare], k, given[i - begin])
 
 
 @dataclasses.dataclass
@@ -252,8 +245,7 @@ class NearestExamples:
         """Scores, and each text's neighbours as evidence."""
         votes, evidence = np.full(len(texts), self.prior_without), [[] for _ in texts]
         if self.index is not None:
-            owner, term, weight = vectors(*self.counter().count(texts), self.idf)
-            for i, near, cosine in self.index.nearest(owner, term, weight, len(texts), NEIGHBOURS):
+            for i, near, cosine in self.index.nearest(*vectors(*self.counter().count(texts), self.idf), NEIGHBOURS):
                 votes[i] = self.vote(near, cosine) if len(near) else self.prior_without
                 evidence[i] = [{"example_id": int(self.ids[j]), "label": int(self.labels[j]), "cosine": float(c)} for j, c in zip(near.tolist(), cosine.tolist())]
         return self.calibrated(votes), evidence
@@ -267,7 +259,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
         counter, total, df = TermCounter(terms), 0, np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
-                _, term, _, _ = counter.count([t.encode() for t in part.column(0).to_pylist()])
+                _, term, _ = counter.count([t.encode() for t in part.column(0).to_pylist()])
                 df += np.bincount(term, minlength=len(terms))
                 total += part.num_rows
         met = np.flatnonzero(df)
@@ -293,35 +285,43 @@ def fit(docs: DataFrame, sample: list[tuple[int, str, int]]) -> NearestExamples:
     if not (terms := all_terms(own)):
         return blank
     total, df = document_frequencies(docs, terms)
-    counter, parts, words_of = TermCounter(terms), [], []
+    idf = np.log((1 + total) / (1 + df)) + 1
+    counter, parts = TermCounter(terms), []
     for begin in range(0, len(own), 256):
-        owner, term, times, lengths = counter.count(own[begin : begin + 256])
+        owner, term, times = counter.count(own[begin : begin + 256])
         parts.append(((owner + begin).astype(np.int32), term.astype(np.int32), times.astype(np.int32)))
-        words_of.append(lengths)
-    owner, term, times = (np.concatenate(p) for p in zip(*parts))
-    lengths = np.concatenate(words_of)
-    idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + association(owner, term, labels, len(terms)))
-    owner, term, weight = vectors(owner, term, times, lengths, idf)
-    # examples that share their heaviest term lie together, which keeps the blocks' bounds low
-    lead = np.full(len(texts), len(terms))
-    heaviest = np.lexsort((weight, owner))
-    lead[owner[heaviest]] = term[heaviest]
-    order = np.lexsort((ids, lead))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    index = ExampleIndex(place[owner], term.astype(np.int64), weight, len(texts), len(terms))
-    bare = np.ones(len(texts), dtype=bool)
-    bare[owner] = False
-    without = (labels[bare].sum() + prior) / (bare.sum() + 1)
-    model = dataclasses.replace(blank, terms=terms, idf=idf, index=index, labels=labels[order], ids=ids[order], prior_without=float(without))
-    votes = np.full(len(texts), float(without))
-    for i, near, cosine in index.nearest(owner, term, weight, len(texts), NEIGHBOURS, without=place):
-        votes[i] = model.vote(near, cosine) if len(near) else without
+    counted = tuple(np.concatenate(p) for p in zip(*parts))
+    bare = np.ones(len(own), dtype=bool)
+    bare[counted[0]] = False
+    without = float((labels[bare].sum() + prior) / (bare.sum() + 1))
+
+    def model_of(chosen: np.ndarray) -> NearestExamples:
+        """The uncalibrated model whose weights and index come from the chosen examples."""
+        places = np.flatnonzero(chosen)
+        taken = chosen[counted[0]]
+        owner, term, times = (np.searchsorted(places, counted[0][taken]), counted[1][taken], counted[2][taken])
+        weighed = idf * (1 + association(owner, term, labels[places], len(terms)))
+        owner, term, weight = vectors(owner, term, times, weighed)
+        # examples that share their heaviest term lie together, which keeps the blocks' bounds low
+        lead = np.full(len(places), len(terms))
+        heaviest = np.lexsort((weight, owner))
+        lead[owner[heaviest]] = term[heaviest]
+        order = np.lexsort((ids[places], lead))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        index = ExampleIndex(rank[owner], term, weight, len(places), len(terms))
+        return dataclasses.replace(blank, terms=terms, idf=weighed, index=index, labels=labels[places][order], ids=ids[places][order], prior_without=without)
+
+    votes, fold = np.full(len(own), without), np.arange(len(own)) % FOLDS
+    for k in range(FOLDS):
+        part, asked = model_of(fold != k), (fold == k)[counted[0]]
+        for i, near, cosine in part.index.nearest(*vectors(*(c[asked] for c in counted), part.idf), NEIGHBOURS):
+            votes[i] = part.vote(near, cosine) if len(near) else without
     from .quality import _logistic
 
     logit = np.log(np.clip(votes, 1e-6, 1 - 1e-6) / np.clip(1 - votes, 1e-6, 1 - 1e-6))
     mean, scale, w = _logistic(np.column_stack([np.ones(len(logit)), logit]), labels)
-    return dataclasses.replace(model, slope=float(max(w[1] / scale[1], 1e-3)), shift=float(w[0] - w[1] * mean[1] / scale[1]))
+    return dataclasses.replace(model_of(np.ones(len(own), dtype=bool)), slope=float(max(w[1] / scale[1], 1e-3)), shift=float(w[0] - w[1] * mean[1] / scale[1]))
 
 
 def score_documents(docs: DataFrame, model: NearestExamples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
