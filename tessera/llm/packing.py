@@ -27,11 +27,11 @@ from .common import chunks
 
 WINDOW = 2048
 END_ID = 1
-#: At most so many partially filled windows wait in a task (about 32 MB of ids).
+#: At most so many partially filled windows wait in a task (about 32 MB of ids); then all are emptied as at the end.
 OPEN_LIMIT = 4096
 #: A task numbers its sequences from its partition's number times this.
 SEQUENCES_PER_TASK = 1 << 36
-#: Longer texts are given to the reference tokenizer itself.
+#: Longer texts are given to the file's own tokenizer; the fast one's pattern runs out of stack on millions of blanks. Ids are the same.
 FAST_CHARS = 1_000_000
 
 
@@ -40,6 +40,7 @@ def _encoders(path: str):
     """A fast encoder with the vocabulary of a byte-level BPE file, and the file's own tokenizer.
 
     In such files an id is also the merge's rank, which is all the fast one needs.
+    The file's added tokens, where a text spells them, keep their own ids.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -48,19 +49,20 @@ def _encoders(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = {chr(b): b for b in printable}
     spelled |= {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(printable))}
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    special = {x["content"]: x["id"] for x in added}
     ranks = {bytes(spelled[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), slow
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), Tokenizer.from_file(path)
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """The text's ids; strings of special tokens are ordinary text."""
+    """The text's ids, as the file's tokenizer gives them without adding any: a special token's string is that token."""
     fast, slow = _encoders(path)
     if len(text) <= FAST_CHARS:
-        return np.array(fast.encode_ordinary(text), dtype="<u4")
+        return np.array(fast.encode(text, allowed_special="all"), dtype="<u4")
     return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 

@@ -1,7 +1,8 @@
+import zlib
+
 import numpy as np
 import public_tokenizers
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from tessera.llm import packing
 
@@ -11,9 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -28,6 +27,18 @@ def test_ids_of_real_texts(documents):
         assert packing.token_ids(row.text, PATH).tolist() == t.encode(row.text, add_special_tokens=False).ids
 
 
+def test_special_tokens_and_long_texts(monkeypatch):
+    texts = ["hi <|endoftext|> there", "<|endoftext|><|endoftext|>", "<|endoftext|", "a  <|endoftext|>  b", "<|ENDOFTEXT|>", "\n<|endoftext|>\n"]
+    texts.append("word <|endoftext|> " * 60_000)
+    t = tokenizer()
+    for text in texts:
+        assert packing.token_ids(text, PATH).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(texts[0], PATH).tolist() == [5303, 220, 50256, 612]
+    monkeypatch.setattr(packing, "FAST_CHARS", 0)
+    for text in texts:
+        assert packing.token_ids(text, PATH).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def squares(packer):
     return int((packer.levels**2).sum())
 
@@ -89,6 +100,21 @@ def test_odd_rows(odd, empty):
 def test_query(spark):
     from tessera.llm.queries import op1_packing
 
-    got = op1_packing(spark, "/root/testdata/sf0.001")
-    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
-    assert all(r.n == r.end <= 2048 for r in used)
+    base, tok = "/root/testdata/sf0.001", tokenizer()
+    ids = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], dtype="<u4") for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    pieces, ends = {}, {}
+    for r in op1_packing(spark, base).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length == len(own) > 0 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(own.tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys()
+    for key, own in pieces.items():  # each id lies in exactly one piece
+        own.sort()
+        assert [a for a, _ in own] == np.cumsum([0, *[n for _, n in own[:-1]]]).tolist() and sum(own[-1]) == len(ids[key])
+    for own in ends.values():  # pieces stand side by side; a sequence is full or needs no padding
+        own.sort()
+        assert [a for a, _ in own] == np.cumsum([0, *[n for _, n in own[:-1]]]).tolist()
+        used = sum(own[-1])
+        assert used <= 2048 and used & (used - 1) == 0
