@@ -2,10 +2,11 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A
 text is cut into blocks, and every block is compressed with either dictionary.
-A text that the good one shortens more is likely good: the difference of the
-sizes, divided by their sum, is the main term of a logistic calibration, whose
-other terms are the least such difference of any block, the sizes a byte, and
-the text's length, on which the difference's weight depends.
+A text that the good one shortens more is likely good. The evidence is the
+normalised difference of the two sizes, and nothing else: that of the whole
+text, and the least, the lower quartile's, the median's and the largest of its
+blocks, for small and for larger blocks. A logistic calibration makes a
+probability of them.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from .common import chunks
 FIT_ROWS = 6000
 FIT_CHARS = 10_000
 DICTIONARY_BYTES = 112_640
-BLOCK_BYTES = 512
+#: Texts are cut into blocks of either size.
+BLOCK_BYTES = (128, 512)
+N_TERMS = 1 + 5 * len(BLOCK_BYTES)
 LEVEL = 3
 FOLDS = 5
-#: Bytes of a frame that no content causes, and what damps the ratios of short texts.
+#: Bytes of a frame that no content causes, and what is added to the denominator, which matters for short texts.
 FRAME_BYTES, DAMPING = 7, 24
 
 
@@ -77,30 +80,29 @@ class CompressionClassifier:
             self._open = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (self.good, self.bad)]
         return self._open
 
-    def sizes(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """The text's bytes, and its blocks' compressed sizes with the good and the bad dictionary."""
+    def sizes(self, text: str, block: int = BLOCK_BYTES[-1]) -> tuple[np.ndarray, np.ndarray]:
+        """Compressed sizes of the text's blocks, in order, with the good and with the bad dictionary; an empty text is one block of none."""
         data = text.encode("utf-8", "surrogatepass")
-        blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        good, bad = self._compressors()
-        return (
-            len(data),
-            np.array([len(good.compress(b)) - FRAME_BYTES for b in blocks] or [0], dtype=float),
-            np.array([len(bad.compress(b)) - FRAME_BYTES for b in blocks] or [0], dtype=float),
-        )
-
-    def terms(self, text: str) -> list[float]:
-        n, good, bad = self.sizes(text)
-        by_block = (bad - good) / (bad + good + DAMPING)
-        good, bad, length = good.sum(), bad.sum(), np.log1p(n) / 6
-        difference = (bad - good) / (bad + good + DAMPING)
-        return [1.0, difference, good / (n + 12), bad / (n + 12), by_block.min(), difference * length, length]
+        blocks = [data[i : i + block] for i in range(0, len(data), block)]
+        good, bad = ([len(c.compress(b)) - FRAME_BYTES for b in blocks] or [0] for c in self._compressors())
+        return np.array(good, dtype=float), np.array(bad, dtype=float)
+
+    def terms(self, text: str) -> tuple[list[float], int, int]:
+        """A constant and the normalised differences, and the text's sizes with the good and the bad dictionary."""
+        out = [1.0]
+        for block in BLOCK_BYTES:
+            good, bad = self.sizes(text, block)
+            by_block = np.sort((bad - good) / (bad + good + DAMPING))
+            good, bad = good.sum(), bad.sum()
+            out += [(bad - good) / (bad + good + DAMPING), by_block[0], by_block[len(by_block) // 4], by_block[len(by_block) // 2], by_block[-1]]
+        return out, int(good), int(bad)
 
     def probability(self, terms) -> np.ndarray:
         z = (np.asarray(terms, dtype=float) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return self.probability([self.terms(t) for t in texts]) if texts else np.zeros(0)
+        return self.probability([self.terms(t)[0] for t in texts]) if texts else np.zeros(0)
 
 
 def _logistic(terms: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +122,9 @@ def fit(sample: list[tuple[str, int]]) -> CompressionClassifier:
 
     A sample with one label, or none, gives a constant score: that label, or one half.
     """
-    constant = np.array([30.0 if sample and sample[0][1] else -30.0 if sample else 0.0, 0, 0, 0, 0, 0, 0])
-    blank = CompressionClassifier(b"\n" * 8, b"\n" * 8, np.zeros(7), np.ones(7), constant)
+    constant = np.zeros(N_TERMS)
+    constant[0] = 30.0 if sample and sample[0][1] else -30.0 if sample else 0.0
+    blank = CompressionClassifier(b"\n" * 8, b"\n" * 8, np.zeros(N_TERMS), np.ones(N_TERMS), constant)
     if len({y for _, y in sample}) < 2:
         return blank
 
@@ -133,7 +136,7 @@ def fit(sample: list[tuple[str, int]]) -> CompressionClassifier:
     for fold in range(FOLDS):
         seen = dictionaries([r for i, r in enumerate(sample) if i % FOLDS != fold])
         for text, y in sample[fold::FOLDS]:
-            terms.append(seen.terms(text))
+            terms.append(seen.terms(text)[0])
             labels.append(y)
     mean, scale, weights = _logistic(np.array(terms), np.array(labels, dtype=float))
     return dataclasses.replace(dictionaries(sample), mean=mean, scale=scale, weights=weights)
@@ -156,10 +159,8 @@ def score_documents(docs: DataFrame, model: CompressionClassifier, id_col: str =
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                terms = [model.terms(t) for t in part.column(1).to_pylist()]
-                lengths = np.expm1(np.array([t[6] for t in terms]) * 6)
-                sizes = [pa.array(np.rint(np.array([t[k] for t in terms]) * (lengths + 12)).astype(np.int64)) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), pa.array(model.probability(terms)), *sizes], schema=schema)
+                terms, good, bad = zip(*(model.terms(t) for t in part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), pa.array(model.probability(terms)), pa.array(good, pa.int64()), pa.array(bad, pa.int64())], schema=schema)
 
     return slim.mapInArrow(run, out)
 

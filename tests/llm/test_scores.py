@@ -30,6 +30,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert (own[:, 0] == own[:, 1]).mean() > 0.97 and own[own[:, 0] == 0, 1].mean() < 0.02
 
 
+def test_the_score_is_made_of_normalised_differences(spark):
+    """Sizes by the zstandard library's own calls, differences and calibration written out."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sample = [(t, int(i % 3 > 0)) for i, t in sorted(texts.items())]
+    model = quality.fit(sample)
+    plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (model.good, model.bad)]
+    for r in quality.score_documents(docs, model).collect():
+        data, terms = texts[r.doc_id].encode(), [1.0]
+        for block in (128, 512):
+            cut = [data[i : i + block] for i in range(0, len(data), block)]
+            good, bad = ([len(s.compress(c)) - 7 for c in cut] or [0] for s in sides)
+            each = sorted((b - g) / (b + g + 24) for g, b in zip(good, bad))
+            terms += [(sum(bad) - sum(good)) / (sum(bad) + sum(good) + 24), each[0], each[len(each) // 4], each[len(each) // 2], each[-1]]
+        assert (r.good_bytes, r.bad_bytes) == (sum(good), sum(bad))
+        z = sum((x - m) / s * w for x, m, s, w in zip(terms, model.mean, model.scale, model.weights))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_odd_rows(spark, odd, empty, documents):
     sample = [(i, f"good text number {i} of many", 1) for i in range(30)] + [(100 + i, "BAD!! WORD!! " * (i + 1), 0) for i in range(30)]
     model = quality.fit([(t, y) for _, t, y in sample])
