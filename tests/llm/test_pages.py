@@ -1,5 +1,7 @@
 import datetime as dt
+import html.parser
 import random
+import re
 
 import pytest
 
@@ -23,6 +25,20 @@ from tessera.llm import html_text, warc
         ("<dl><dt>T<dd>D</dl><textarea>t</textarea>", "T\n  D\n\nt"),
         ("<table><td>a<td>b</table>", "a  b"),
         ("<div>a</div>\n<div>b</div><p hidden>c", "a\nb"),
+        ("<pre>foo <b>bar</b> baz\n  <i>x</i>  y</pre>z", "foo bar baz\n  x  y\n\nz"),
+        ("a<pre>\n\n  <span>def</span> f(x):\n\n      return <b>x</b>\n\n</pre>b", "a\n\n  def f(x):\n\n      return x\n\nb"),
+        ("<pre>a<br>b &lt;c&gt;</pre><textarea>\n t\n</textarea>", "a\nb <c>\n\n t"),
+        ("<li><pre>x\ny</pre>", "- x\ny"),
+        ("<table><tr><th colspan=2>Name and value<th>N<tr><td>x<td>1<td>2<tr><td>yy<td>3<td>4</table>", "Name and value  N\nx   1           2\nyy  3           4"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>e</table>", "a   b\n    c\ndd  e"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>e</table>", "a  b\n   c\n   e"),
+        ("<table><tr><td colspan=1000 rowspan=9999>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td colspan=x>a<td colspan=0>b</table>", "a  b"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<div style='display:none'><b style='visibility:visible;display:block'>no</b></div>x", "x"),
+        ("<style>.ad, p.no{display:none} #x{visibility:hidden} .ad#y{display:none}</style><p class='big ad'>no<p class=no>no<p>a<b id=x>no</b><i class=no>b", "ab"),
+        ("<style>/* p{display:none} */ .a{display:none} .a{display:block} @media print{p{display:none}} i{display:none}</style><p class=a>x<i style='display:inline'>y</i>", "xy"),
+        ("<p hidden style='display:block'>shown", "shown"),
     ],
 )
 def test_rendering(source, text):
@@ -35,7 +51,53 @@ def test_title_and_unclosed_quotes():
     assert html_text.extract("x<a href='")[1] == "x"
 
 
-@pytest.mark.parametrize("source", ["<div>" * 30_000 + "x", "<a" * 20_000, "<!--" * 9_000, "<table><tr><td>" * 2_000 + "y", '<b x="' * 5_000, "<li>" * 9_000, "</p>" * 5_000])
+@pytest.mark.parametrize("depth", [10, 500, 20_000])
+def test_depth_changes_nothing(depth):
+    nested = "<div>" * depth + "<div hidden>secret</div>seen<span style='visibility:hidden'>secret</span>"
+    assert html_text.extract(nested)[1] == "seen"
+    assert html_text.extract("<ul><li>" * depth + "x")[1].strip() == "- x"
+    deep = html_text.extract("<table><tr><td>a<td>" * depth + "<p hidden>secret</p>end")[1]
+    assert deep.split() == ["a"] * depth + ["end"]
+    # a closing tag finds its element wherever it is
+    assert html_text.extract("<p>" + "<b>" * depth + "x</p>y")[1] == "x\n\ny"
+
+
+class Words(html.parser.HTMLParser):
+    """An independent parser: the words outside of what is never shown."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.pieces = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_text.VOID:
+            self.open.append(tag)
+        self.pieces.append(" " if tag in html_text.BLOCKS or tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+        self.pieces.append(" " if tag in html_text.BLOCKS else "")
+
+    def handle_data(self, data):
+        if not {"script", "style", "head", "title"} & set(self.open):
+            self.pieces.append(data)
+
+
+def test_words_are_those_of_an_independent_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    rows = {r.page_id: r for r in html_text.extract_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert len(rows) == len(pages)
+    for page in pages:
+        other = Words()
+        other.feed(page.html)
+        marked = [re.sub(r"^ *(?:-|[0-9]+\.) ", "", line) for line in rows[page.page_id].text.split("\n")]
+        assert " ".join(marked).split() == "".join(other.pieces).split()
+        assert rows[page.page_id].title == " ".join(html.unescape(re.search("<title>(.*?)</title>", page.html, re.S)[1]).split())
+
+
+@pytest.mark.parametrize("source", ["<ul><li>x" * 30_000, "<table><tr><td>x<td>" * 10_000, "<td colspan=1000>x" * 3_000, "<table><tr>" + "<td rowspan=65534 colspan=1000>" * 300 + "<tr><td>" * 500, "<p><table>" + "<b>" * 9_000 + "</p>" * 9_000, "<div>" * 30_000 + "x", "<a" * 20_000, "<!--" * 9_000, "<table><tr><td>" * 2_000 + "y", '<b x="' * 5_000, "<li>" * 9_000, "</p>" * 5_000])
 def test_hostile_pages_end_soon(source):
     html_text.extract(source)
 
