@@ -22,6 +22,9 @@ KEPT_FIELDS = ("connection", "content-encoding", "content-length", "content-md5"
 # Query parameters that only say where a visitor came from.
 TRACKING = r"^(utm_[a-z_]+|gclid|fbclid|msclkid|mc_eid|mc_cid|igshid)(=|$)"
 
+_GZIP = b"\x1f\x8b\x08"
+PIECE = 1 << 16
+BATCH_BYTES = 16_000_000
 RECORDS = "record_id string, url string, time timestamp, type string, status int, headers map<string,string>, body binary"
 
 
@@ -117,18 +120,60 @@ def resolve_revisits(records: DataFrame, time_parts: int = TIME_PARTS) -> DataFr
     return checked.select("record_id", F.col("_url").alias("canonical_url"), F.col("_time").alias("time"), F.col("_found.record_id").alias("refers_to"), "state", merged.alias("headers"))
 
 
+class _Member(io.RawIOBase):
+    """What one gzip member of ``data`` unpacks to, piece by piece; ``end`` is where the next one may begin.
+
+    A damaged member ends where the damage shows; the next one begins at the next gzip header.
+    """
+
+    def __init__(self, data: bytes, begin: int):
+        self.data, self.at, self.end = data, begin, None
+        self.unpack, self.ready = zlib.decompressobj(31), memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not self.ready and self.end is None:
+            piece = self.unpack.unconsumed_tail or self.data[self.at : self.at + PIECE]
+            if not self.unpack.unconsumed_tail:
+                self.at += len(piece)
+            try:
+                self.ready = memoryview(self.unpack.decompress(piece, PIECE))
+            except zlib.error:
+                found = self.data.find(_GZIP, self.at - len(piece) + 1)
+                self.end = found if found >= 0 else len(self.data)
+            if self.unpack.eof:
+                self.end = self.at - len(self.unpack.unused_data)
+            elif not piece:
+                self.end = len(self.data)
+        size = min(len(target), len(self.ready))
+        target[:size] = self.ready[:size]
+        self.ready = self.ready[size:]
+        return size
+
+
 def _members(data: bytes):
-    """A file's records as streams: one gzip member each, or all in one plain stream."""
-    if not data.startswith(b"\x1f\x8b"):
+    """A file's records as streams: one for each gzip member, or all in one plain stream."""
+    if not data.startswith(_GZIP):
         yield io.BytesIO(data)
         return
-    while data:
-        unpack = zlib.decompressobj(31)
-        yield io.BytesIO(unpack.decompress(data) + unpack.flush())
-        data = unpack.unused_data.lstrip(b"\0")
+    at = 0
+    while at < len(data):
+        if not data.startswith(_GZIP, at):  # padding, or damage
+            at = data.find(_GZIP, at)
+            if at < 0:
+                return
+        member = _Member(data, at)
+        stream = io.BufferedReader(member, PIECE)
+        yield stream
+        while stream.read(PIECE):
+            pass
+        at = max(member.end, at + 1)
 
 
 def _head(stream) -> dict[str, str] | None:
+    """The first line, under "", and the header fields up to a blank line, names in lower case; of a repeated field the values, comma-joined."""
     found, line = {}, stream.readline()
     while line in (b"\r\n", b"\n"):
         line = stream.readline()
@@ -140,22 +185,41 @@ def _head(stream) -> dict[str, str] | None:
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if text[:1] in " \t" and name:
             found[name] += " " + text.strip()
-        else:
+        elif ":" in text:
             name, _, value = text.partition(":")
             name = name.strip().lower()
-            found.setdefault(name, value.strip())
+            found[name] = f"{found[name]}, {value.strip()}" if name in found else value.strip()
     return found
 
 
 def parse_warc(data: bytes):
-    """(record id, url, time, type, status, headers, body) of a file's response and revisit records."""
+    """(record id, url, time, type, status, headers, body) of a file's response and revisit records.
+
+    Lines that belong to no record are passed over up to the next one that
+    begins with WARC/, and so are records without a valid Content-Length, and
+    those whose block is cut short. The file is read once, a piece at a time.
+    """
     for stream in _members(data):
-        while (head := _head(stream)) is not None:
-            if not head[""].startswith("WARC/"):
-                raise ValueError(f"not a record: {head['']!r:.80}")
-            block = stream.read(int(head.get("content-length", 0)))
+        first = stream.readline()
+        while first:
+            if not first.startswith(b"WARC/"):
+                first = stream.readline()
+                continue
+            head = _head(_Before(first, stream))
+            length = head.get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", length):
+                first = stream.readline()
+                continue
             kind = head.get("warc-type", "")
             if kind not in ("response", "revisit"):
+                left = int(length)
+                while left and (skipped := len(stream.read(min(left, PIECE)))):
+                    left -= skipped
+                first = stream.readline()
+                continue
+            block = stream.read(int(length))
+            first = stream.readline()
+            if len(block) < int(length):
                 continue
             inner = io.BytesIO(block)
             http = _head(inner) or {"": ""}
@@ -164,21 +228,37 @@ def parse_warc(data: bytes):
             yield head.get("warc-record-id"), head.get("warc-target-uri", "").strip("<>") or None, head.get("warc-date"), kind, code, http, inner.read()
 
 
+class _Before:
+    """A stream's lines after a line that was read from it already."""
+
+    def __init__(self, first: bytes, stream):
+        self.first, self.stream = first, stream
+
+    def readline(self) -> bytes:
+        line, self.first = self.first, None
+        return line if line is not None else self.stream.readline()
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files, plain or gzipped by record, as RECORDS.
+    """The response and revisit records of WARC files, plain or gzipped by record, as RECORDS; see parse_warc().
 
     A file is one row of Spark's binaryFile source, so files are limited to 2 GB.
+    Records leave in batches of about BATCH_BYTES, however many a file has.
     """
+    kinds = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("time", pa.string()), ("type", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = [dict(zip(("record_id", "url", "time", "type", "status", "headers", "body"), r)) for r in parse_warc(data)]
-                for r in rows:
-                    r["headers"] = list(r["headers"].items())
-                if rows:
-                    kinds = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("time", pa.string()), ("type", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            for content in batch.column(0):
+                for *row, headers, body in parse_warc(content.as_py()):
+                    rows.append(dict(zip(kinds.names, (*row, list(headers.items()), body))))
+                    size += len(body) + 500
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     found = files.mapInArrow(run, RECORDS.replace("time timestamp", "time string"))

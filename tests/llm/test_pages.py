@@ -1,7 +1,9 @@
 import datetime as dt
+import gzip
 import html.parser
 import random
 import re
+import time
 
 import pytest
 
@@ -171,3 +173,44 @@ def test_warc_files(spark, tmp_path):
     assert [(r.record_id, r.status, bytes(r.body)) for r in records.orderBy("record_id").collect()] == [("<urn:1>", 200, b"<p>hi\r\n\r\n</p>"), ("<urn:2>", 304, b"")]
     [r] = warc.resolve_revisits(records).collect()
     assert (r.refers_to, r.state, r.headers) == ("<urn:1>", "resolved", {"etag": '"1"', "content-type": "text/html", "expires": "never"})
+
+
+def record(i, body=b"x" * 50, kind="response", length=None):
+    data = gzip.decompress(warc.record_bytes(f"<urn:{i}>", f"http://e.x/{i}", "2024-01-01T00:00:00Z", kind, 200, {"A": str(i)}, body))
+    return data if length is None else re.sub(rb"Content-Length: [0-9]+", b"Content-Length: " + length, data, count=1)
+
+
+def ids(data):
+    return [r[0] for r in warc.parse_warc(data)]
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_malformed_records_are_passed_over(pack):
+    good = [record(i, b"WARC/1.1 is text here\n" * i) for i in range(4)]
+    assert ids(b"".join(map(pack, good))) == [f"<urn:{i}>" for i in range(4)]
+    assert ids(pack(b"junk\nmore junk\n\n" + good[0]) + pack(good[1])) == ["<urn:0>", "<urn:1>"]
+    assert ids(pack(record(7, length=b"many")) + pack(good[1])) == ["<urn:1>"]
+    assert ids(pack(record(7, length=b"")) + pack(record(8, kind="metadata")) + pack(good[1])) == ["<urn:1>"]
+    assert ids(pack(good[0]) + pack(good[1][:-60])) == ["<urn:0>"]
+    assert ids(pack(good[0][:40])) == [] == ids(b"") == ids(pack(b""))
+
+
+def test_repeated_fields_and_damaged_members():
+    block = b"HTTP/1.1 200 X\r\nVary: a\r\nnot a field\r\nvary: b\r\n c\r\n\r\nbody"
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <u>\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    [found] = warc.parse_warc(gzip.compress(data))
+    assert found[4:] == (200, {"vary": "a, b c"}, b"body")
+    members = [gzip.compress(record(i, random.Random(i).randbytes(5000))) for i in range(5)]
+    broken = bytearray(members[2])
+    broken[200:260] = bytes(60)
+    got = ids(members[0] + members[1] + bytes(broken) + b"\0\0\0" + members[3] + members[4][:-900])
+    assert got == ["<urn:0>", "<urn:1>", "<urn:3>"]
+    assert ids(gzip.compress(b"".join(record(i) for i in range(9)))) == [f"<urn:{i}>" for i in range(9)]
+
+
+def test_files_are_read_in_linear_time(spark, tmp_path):
+    n = 20_000
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(warc.record_bytes(f"<urn:{i}>", "http://e.x/", "2024-01-01T00:00:00Z", "response", 200, {}, random.Random(i).randbytes(2000)) for i in range(n)))
+    began = time.perf_counter()
+    assert warc.read_warc(spark, str(tmp_path)).select("record_id").distinct().count() == n
+    assert time.perf_counter() - began < 60
