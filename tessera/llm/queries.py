@@ -58,7 +58,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
 
     counts = [count(k.name) for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    added = [count(k.name) for k in pii.ADDED]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
