@@ -7,12 +7,14 @@ registers' maximum. The steps:
 
 1. Documents with equal sets form a class, whose smallest id stands for it.
 2. Bands of BAND registers are hashed; classes that share a band are candidates.
-   At a similarity of 0.75 the chance to share none is about 5e-6 from 12
-   shingles on; it is larger for smaller sets, whose registers are not independent.
+   At a similarity of 0.75 the chance to share none is about 5e-6 from TINY
+   shingles on; the registers of smaller sets are not independent.
 3. In a bucket of at most SMALL classes every pair is a candidate. In a larger
    one each class is a candidate with the bucket's centre; then an exact prefix
-   filter over the classes of larger buckets finds the pairs that the centres
-   left apart, so that no link is lost and no bucket's pairs are all listed.
+   filter over the classes of larger buckets, and over all sets so small that
+   they may be linked with one below TINY, finds the pairs that were left
+   apart, so that no link is lost there and no bucket's pairs are all listed.
+   A shingle with many holders is dealt out in blocks.
 4. The registers of a pair and the sets' sizes give a joint likelihood of the
    similarity; pairs for which 0.75 is far less likely than the best value go.
 5. The rest are confirmed on their full sets, and links make components.
@@ -40,6 +42,11 @@ SMALL = 24
 LEAST_LOG_RATIO = 16.0
 #: Eight MB.
 MOST_BITS = 1 << 26
+#: Smaller sets, and those that may be linked with one, are compared by the exact prefix filter.
+TINY = 12
+#: A shingle with more holders is dealt out in blocks of so many; at most MOST_HOT shingles are broadcast as such.
+HOT_ROWS = 512
+MOST_HOT = 65_536
 _U = np.uint64
 
 
@@ -231,24 +238,53 @@ def _left_apart(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFram
     early enough in both for that pair.
     """
     ratio = int(round(100 * threshold))
-    items = sets.select("id", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    common = items.groupBy("shingle").agg(F.count("*").alias("df"))
-    ordered = items.join(common, "shingle").select("id", "set", "n", F.struct("df", "shingle").alias("item"))
-    ordered = ordered.groupBy("id", "set", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))  # at most a text's shingles
-    length = F.col("n") - F.ceil(F.col("n") * ratio / 100) + 1
-    prefix = ordered.select("id", "n", F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "item"))
-    prefix = prefix.where("item.df > 1").select("id", "n", (F.col("at") + 1).alias("at"), F.col("item.shingle").alias("shingle"))
-    placed = prefix.join(roots, "id")
+    items = sets.select("id", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n_own"), F.explode("shingles").alias("shingle"))
+    common = materialise(items.groupBy("shingle").agg(F.count("*").alias("n")), "frequencies")
+    hot = _hot(common)
+    counted = items.join(hot, "shingle").unionByName(items.join(hot, "shingle", "left_anti").join(common, "shingle"))
+    ordered = counted.select("id", "set", "n_own", F.struct("n", "shingle").alias("item"))
+    ordered = ordered.groupBy("id", "set", "n_own").agg(F.array_sort(F.collect_set("item")).alias("items"))  # at most a text's shingles
+    length = F.col("n_own") - F.ceil(F.col("n_own") * ratio / 100) + 1
+    prefix = ordered.select("id", "n_own", F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "item"))
+    prefix = prefix.where("item.n > 1").select("id", "n_own", (F.col("at") + 1).alias("at"), F.col("item.shingle").alias("shingle"))
+    placed = materialise(prefix.join(roots, "id"), "prefixes")
     # a shingle whose holders are all in one component has nothing to find
-    open_ = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
-    placed = materialise(placed.join(open_, "shingle"), "prefixes")
-    left, right = placed.toDF("shingle", "a", "n_a", "at_a", "root_a"), placed.toDF("shingle", "b", "n_b", "at_b", "root_b")
+    open_ = placed.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle", "n")
+    open_ = materialise(open_, "open")
+    hot = _hot(open_)
+    cold = placed.join(hot, "shingle", "left_anti").join(open_, "shingle").select(placed.columns)
+    # the holders of a hot shingle in blocks, every two of which meet in a cell of their own
+    n_blocks = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    blocks = placed.join(hot, "shingle").withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+    first = blocks.select(*placed.columns, F.col("block").alias("low"), F.explode(F.sequence(F.col("block"), n_blocks - 1)).alias("high"))
+    second = blocks.select(*placed.columns, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("low"), F.col("block").alias("high"))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * ratio / (100 + ratio))
     early = (F.col("at_a") <= F.col("n_a") - need + 1) & (F.col("at_b") <= F.col("n_b") - need + 1)
     # what can still be shared from here on must do
     rest = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least(F.col("at_a"), F.col("at_b")) - 1
-    pairs = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & early & (rest >= need))
-    return pairs.select("a", "b").distinct()
+    possible = (F.col("root_a") != F.col("root_b")) & early & (rest >= need)
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str], once) -> DataFrame:
+        def side(frame, name):
+            return frame.select(*keys, F.col("id").alias(name), *(F.col(c).alias(f"{new}_{name}") for c, new in (("n_own", "n"), ("at", "at"), ("root", "root"))))
+
+        found = side(left, "a").join(side(right, "b"), keys).where(once & possible)
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    ascending = F.col("a") < F.col("b")
+    pairs = met(cold, cold, ["shingle"], ascending)
+    more = met(first, second, ["shingle", "low", "high"], ascending | (F.col("low") < F.col("high")))
+    return pairs.unionByName(more).distinct()
+
+
+def _hot(counts: DataFrame) -> DataFrame:
+    """The rows of counts (key, n) whose n is too large for one task, to be broadcast.
+
+    They are those of more than HOT_ROWS and more than one part in MOST_HOT of
+    the whole, so there are fewer than MOST_HOT of them, whatever the input.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(counts.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, small: int = SMALL) -> DataFrame:
@@ -276,7 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starred = members.where((F.col("size") > small) & (F.col("id") != F.col("centre"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     candidates = materialise(listed.unionByName(starred).where("a < b").distinct(), "candidates")
     likely = materialise(_likely(candidates, classes, threshold), "likely")
-    crowded = materialise(members.where(F.col("size") > small).select("id").distinct(), "crowded")
+    tiny = classes.where(F.col("n_shingles") < int(TINY / threshold) + 1).select("id")
+    crowded = materialise(members.where(F.col("size") > small).select("id").unionByName(tiny).distinct(), "crowded")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(crowded).distinct()
     # an id with several texts has several sets, any of which may make a link
     sets = materialise(_sets_of(slim, materialise(wanted, "wanted")), "sets")

@@ -65,6 +65,37 @@ def test_a_large_group_around_a_template(spark):
     assert got == expected and len({c for _, c in expected.values()}) > 3
 
 
+@pytest.mark.parametrize("hot_rows", [3, 20])
+def test_hot_shingles_are_dealt_out(spark, monkeypatch, hot_rows):
+    """A passage that all texts share, most of each text, with links here and there."""
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", hot_rows)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i % 60}x{k}" if rng.random() < 0.7 else f"r{rng.randrange(10**6)}" for k in range(rng.randrange(2, 18))]
+        rows.append((i, " ".join(passage + own)))
+    expected = brute(rows)
+    assert len({c for _, c in expected.values()}) > 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()}
+    assert got == expected
+
+
+def test_tiny_sets_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        words = [f"t{rng.randrange(60)}x{i // 6}" for _ in range(rng.randrange(1, 17))] if i % 6 == 0 else list(words)
+        if i % 6:
+            words[-1 if rng.random() < 0.5 else 0] = f"e{i}"
+            if rng.random() < 0.5:
+                words.append(f"f{i}")
+        rows.append((i, " ".join(words)))
+    expected = brute(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and sum(k != c for k, (_, c) in expected.items()) > 300
+
+
 def test_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
