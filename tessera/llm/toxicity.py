@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
@@ -32,12 +33,18 @@ FIT_ROWS = 6000
 FIT_CHARS = 8000
 NEIGHBOURS = 32
 FOLDS = 5
-BLOCK = 128
+BLOCK = 256
+#: So many blocks are compared first; if more than as many still may hold a near example, all are.
+FIRST_BLOCKS = 3
+#: A text none of whose terms weighs more, of a vector of length one, is compared with all examples at once.
+LIGHT = 0.4
 #: Letters of the stems.
 STEMS = (4, 6)
 #: Terms in more than this share of the examples are compared as a matrix, for so many texts at once.
-FREQUENT = 1 / 8
+FREQUENT = 1 / 16
 TOGETHER = 64
+#: A worker counts the terms of about so many bytes of text at once.
+TEXT_BYTES = 6_000_000
 _NOT_WORD = re.compile(r"[^\w\n]+|_+")
 
 
@@ -75,36 +82,39 @@ class TermCounter:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.stems = [{t[:-1]: i for i, t in enumerate(terms) if t.endswith("*") and len(t) == size + 1} for size in STEMS]
+        place = {t: i for i, t in enumerate(terms)}
+        sides = [[t for t in terms if not t.endswith("*")], *([t for t in terms if t.endswith("*") and len(t) == size + 1] for size in STEMS)]
+        self.sides = [(pa.array([t.rstrip("*") for t in own], pa.string()), np.array([place[t] for t in own], dtype=np.int64)) for own in sides]
+
+    def _flat(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(token's place, term) for each term of the tokens' words, by token."""
+        found = pa.array(_NOT_WORD.sub(" ", b"\n".join(tokens).decode("utf-8", "replace").lower()).replace("\n", " * ").split(), pa.string())
+        token = np.cumsum(pc.equal(found, "*").to_numpy(zero_copy_only=False))
+        letters = pc.utf8_length(found).to_numpy()
+        pairs = []
+        for size, (own, places) in zip((0, *STEMS), self.sides):
+            sought = pc.utf8_slice_codeunits(found, 0, size) if size else found
+            at = pc.fill_null(pc.index_in(sought, value_set=own), -1).to_numpy()
+            known = (at >= 0) & (letters > size)
+            pairs.append((token[known], places[at[known]]))
+        token, term = (np.concatenate(x) for x in zip(*pairs))
+        order = np.argsort(token, kind="stable")
+        return token[order], term[order]
 
     def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text's place, term, times) for every term of every text, by text and term."""
         found, begins = words(texts)
         coded = found.dictionary_encode()
-        by_word, by_stem = self.words.get, [(size, own.get) for size, own in zip(STEMS, self.stems)]
-        flat, token = [], []
-        for i, line in enumerate(_lines(coded.dictionary.to_pylist())) if len(found) else ():
-            for word in line.split():
-                own = [by_word(word), *(get(word[:size]) for size, get in by_stem if len(word) > size)]
-                for term in own:
-                    if term is not None:
-                        flat.append(term)
-                        token.append(i)
-        if not flat:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none
-        flat = np.array(flat, dtype=np.int64)
         n_tokens = len(coded.dictionary)
+        token, flat = self._flat(coded.dictionary.to_pylist()) if n_tokens else (np.zeros(0, dtype=np.int64),) * 2
         per_token = np.bincount(token, minlength=n_tokens)
         first = np.cumsum(per_token) - per_token
-        owner = np.repeat(np.arange(len(texts)), np.diff(begins))
-        pairs, repeats = np.unique(owner * n_tokens + coded.indices.to_numpy(), return_counts=True)
-        owner, token = pairs // n_tokens, pairs % n_tokens
-        size = per_token[token]
-        at = np.repeat(first[token] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        keys, where = np.unique(np.repeat(owner, size) * len(self.terms) + flat[at], return_inverse=True)
-        return keys // len(self.terms), keys % len(self.terms), np.bincount(where, np.repeat(repeats, size), minlength=len(keys)).astype(np.int64)
+        used = coded.indices.to_numpy()
+        size = per_token[used]
+        owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(begins)), size)
+        at = np.repeat(first[used] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keys, times = np.unique(owner * max(len(self.terms), 1) + flat[at], return_counts=True)
+        return keys // max(len(self.terms), 1), keys % max(len(self.terms), 1), times
 
 
 def vectors(owner: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,24 +149,35 @@ class BlockMaxIndex:
         self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.cell_first = np.append(first, np.int32(len(owner)))
         self.term_first = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+        self.list_first = self.cell_first[self.term_first]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, by cosine and then place, and the cosines.
 
         ``given`` is what terms outside of the index add to each example's cosine.
         """
+        start = np.zeros(self.n) if given is None else given
+
+        def whole() -> np.ndarray:
+            at, by = _spread(self.list_first, term, weight)
+            return start + np.bincount(self.example[at], self.weight[at] * by, minlength=self.n)
+
+        # where no term is heavy the bounds would tell nothing apart, and whole lists are read faster than cells
+        if len(term) and weight.max() <= LIGHT:
+            return _best(whole(), np.arange(self.n), k)
         cells, factor = _spread(self.term_first, term, weight)
         place = self.cell_block[cells]
         bounds = np.bincount(place, self.cell_most[cells] * factor, minlength=self.n_blocks)
-        score = np.zeros(self.n) if given is None else given.astype(float)
         if given is not None:
-            bounds = bounds + np.maximum.reduceat(score, np.arange(0, self.n, self.block))
+            bounds = bounds + np.maximum.reduceat(start, np.arange(0, self.n, self.block))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        least, done, step, found = 0.0, 0, 4, np.zeros(0, dtype=np.int64)
+        score, least, done, found = start.copy(), 0.0, 0, np.zeros(0, dtype=np.int64)
         while done < len(order) and bounds[order[done]] >= least - 1e-9:
-            own = order[done : done + step]
-            own = own[bounds[own] >= least - 1e-9]
+            left = order[done:][bounds[order[done:]] >= least - 1e-9]
+            if done and len(left) > FIRST_BLOCKS:  # nor do they here
+                return _best(whole(), np.arange(self.n), k)
+            own = left[:FIRST_BLOCKS]
             chosen = np.zeros(self.n_blocks, dtype=bool)
             chosen[own] = True
             picked = chosen[place]
@@ -164,14 +185,19 @@ class BlockMaxIndex:
             score += np.bincount(self.example[at], self.weight[at] * by, minlength=self.n)
             found = np.concatenate([found, (own[:, None] * self.block + np.arange(self.block)[None, :]).ravel()])
             found = found[found < self.n]
-            done, step = done + len(own), step * 2
+            done += len(own)
             if len(found) >= k:
                 least = max(0.0, np.partition(score[found], len(found) - k)[len(found) - k])
-        found = found[score[found] > 0]
-        if len(found) > 4 * k:
-            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
-        best = found[np.lexsort((found, -score[found]))][:k]
-        return best, score[best]
+        return _best(score, found, k)
+
+
+def _best(score: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k places among ``found`` of the largest positive score, by score and then place, and the scores."""
+    found = found[score[found] > 0]
+    if len(found) > 4 * k:
+        found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
+    best = found[np.lexsort((found, -score[found]))][:k]
+    return best, score[best]
 
 
 def _spread(firsts: np.ndarray, which: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,14 +267,19 @@ class NearestExamples:
             self._counter = TermCounter(self.terms)
         return self._counter
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[dict]]]:
-        """Scores, and each text's neighbours as evidence."""
-        votes, evidence = np.full(len(texts), self.prior_without), [[] for _ in texts]
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+        """Scores, and each text's neighbours as evidence (example_id, label, cosine)."""
+        votes, counts = np.full(len(texts), self.prior_without), np.zeros(len(texts) + 1, dtype=np.int32)
+        nears, cosines = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         if self.index is not None:
             for i, near, cosine in self.index.nearest(*vectors(*self.counter().count(texts), self.idf), NEIGHBOURS):
-                votes[i] = self.vote(near, cosine) if len(near) else self.prior_without
-                evidence[i] = [{"example_id": int(self.ids[j]), "label": int(self.labels[j]), "cosine": float(c)} for j, c in zip(near.tolist(), cosine.tolist())]
-        return self.calibrated(votes), evidence
+                if len(near):
+                    votes[i], counts[i + 1] = self.vote(near, cosine), len(near)
+                    nears.append(near)
+                    cosines.append(cosine)
+        near = np.concatenate(nears)
+        flat = pa.StructArray.from_arrays([pa.array(self.ids[near]), pa.array(self.labels[near].astype(np.int32)), pa.array(np.concatenate(cosines))], ["example_id", "label", "cosine"])
+        return self.calibrated(votes), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), flat)
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
@@ -258,7 +289,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
     def run(batches):
         counter, total, df = TermCounter(terms), 0, np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 _, term, _ = counter.count([t.encode() for t in part.column(0).to_pylist()])
                 df += np.bincount(term, minlength=len(terms))
                 total += part.num_rows
@@ -313,10 +344,14 @@ def fit(docs: DataFrame, sample: list[tuple[int, str, int]]) -> NearestExamples:
         return dataclasses.replace(blank, terms=terms, idf=weighed, index=index, labels=labels[places][order], ids=ids[places][order], prior_without=without)
 
     votes, fold = np.full(len(own), without), np.arange(len(own)) % FOLDS
-    for k in range(FOLDS):
+
+    def vote_on(k: int) -> None:
         part, asked = model_of(fold != k), (fold == k)[counted[0]]
         for i, near, cosine in part.index.nearest(*vectors(*(c[asked] for c in counted), part.idf), NEIGHBOURS):
             votes[i] = part.vote(near, cosine) if len(near) else without
+
+    for k in range(FOLDS):
+        vote_on(k)
     from .quality import _logistic
 
     logit = np.log(np.clip(votes, 1e-6, 1 - 1e-6) / np.clip(1 - votes, 1e-6, 1 - 1e-6))
@@ -341,8 +376,8 @@ def score_documents(docs: DataFrame, model: NearestExamples, id_col: str = "doc_
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 score, evidence = model.score([t.encode() for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), pa.array(score), pa.array(evidence, schema.field(2).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), pa.array(score), evidence.cast(schema.field(2).type)], schema=schema)
 
     return slim.mapInArrow(run, out)

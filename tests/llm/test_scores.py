@@ -102,6 +102,7 @@ def test_rare_terms_and_balanced_samples_have_neighbours(spark, odd):
         sample += [(500, "zanzibar quetzal", 1)]
         model = toxicity.fit(odd, sample)
         scores, evidence = model.score([b"quetzal", b"bad word", b"good text number 3 of many", b""])
+        evidence = evidence.to_pylist()
         # a word of a single example is matched, and clean examples are neighbours
         assert [(e["example_id"], e["label"]) for e in evidence[0]] == [(500, 1)]
         assert {e["label"] for e in evidence[1]} == {1} and evidence[2][0]["example_id"] == 3 and evidence[2][0]["cosine"] > 1 - 1e-9
@@ -116,7 +117,7 @@ def test_all_terms_of_the_examples_are_compared(odd):
     dense = np.zeros((len(texts), len(model.terms)))
     dense[owner, term] = weight
     _, evidence = model.score([t.encode() for t in texts])
-    for row, found in zip(dense @ dense.T, evidence):
+    for row, found in zip(dense @ dense.T, evidence.to_pylist()):
         assert np.allclose([e["cosine"] for e in found], np.sort(row)[::-1][: toxicity.NEIGHBOURS])
         assert np.allclose([row[e["example_id"]] for e in found], [e["cosine"] for e in found])
 
