@@ -22,7 +22,7 @@ from .common import chunks
 #: Bounds of the fitting sample: labelled rows, and the longest text among them.
 FIT_ROWS = 6000
 FIT_CHARS = 10_000
-DICTIONARY_BYTES = 112_640
+DICTIONARY_BYTES, LEAST_DICTIONARY = 112_640, 2048
 #: Texts are cut into blocks of either size.
 BLOCK_BYTES = (128, 512)
 N_TERMS = 1 + 5 * len(BLOCK_BYTES)
@@ -47,15 +47,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     return [(r["_id"], r["_text"], int(r["_label"])) for r in found.orderBy("_id").collect()]
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary; texts too few to train one are its raw content."""
+def _dictionary(texts: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of at most ``size`` bytes; texts too few to train one are its raw content."""
     import zstandard
 
     blocks = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
+        return zstandard.train_dictionary(size, blocks).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(t[:1500] for t in texts)[:DICTIONARY_BYTES] or b"\n" * 8
+        return b"\n".join(t[:1500] for t in texts)[:size] or b"\n" * 8
 
 
 @dataclasses.dataclass
@@ -130,7 +130,9 @@ def fit(sample: list[tuple[str, int]]) -> CompressionClassifier:
 
     def dictionaries(rows):
         sides = [[t.encode("utf-8", "surrogatepass") for t, y in rows if y == label] for label in (1, 0)]
-        return dataclasses.replace(blank, good=_dictionary(sides[0]), bad=_dictionary(sides[1]))
+        # of one size, which the scarcer label's texts must fill twice, so that neither side knows more
+        size = max(LEAST_DICTIONARY, min(DICTIONARY_BYTES, min(sum(map(len, side)) for side in sides) // 2))
+        return dataclasses.replace(blank, good=_dictionary(sides[0], size), bad=_dictionary(sides[1], size))
 
     terms, labels = [], []
     for fold in range(FOLDS):
