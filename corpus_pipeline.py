@@ -43,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     further = common.materialise(texts.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("hash"))).where("at > 1").select("key", "hash"), "further-texts")
     if not further.isEmpty():
         most = F.lit(keyed.agg(F.max("key")).first()[0])
-        numbers = further.withColumn("number", most + F.row_number().over(W.orderBy("key", "hash")))
+        # ascending by key and hash; a number's size depends on how the rows are spread, their order doesn't
+        numbers = common.materialise(further.orderBy("key", "hash").withColumn("number", most + 1 + F.monotonically_increasing_id()), "numbers")
         keyed = keyed.join(numbers, ["key", "hash"], "left").select("row", "hash", F.coalesce("number", "key").alias("key"))
     groups = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
     dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
