@@ -202,6 +202,13 @@ def content_soup(title: Column, skills: Column, tags: Column, description: Colum
     return strip(F.concat(*parts))
 
 
+def profile_soup(title: Column, skills: Column, cv: Column) -> Column:
+    """A profile's title three times, its skills four times and its text once, blank-joined; empty parts are left out."""
+    joined = F.array_join(F.coalesce(skills, F.array().cast("array<string>")), " ")
+    parts = F.concat(F.array_repeat(title, 3), F.array_repeat(joined, 4), F.array(cv))
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")
+
+
 def description(*sections: Column) -> Column:
     """The sections that aren't blank, a blank line between them."""
     return F.concat_ws("\n\n", *[strip(present(s)) for s in sections])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.parse import experience_bucket
 
@@ -29,7 +29,7 @@ def market_kpis(jobs: DataFrame, companies: DataFrame, job_skills: DataFrame) ->
 
 
 def role_geo_matrix(jobs: DataFrame) -> DataFrame:
-    keys = ["seniority", "city", "work_mode"]
+    keys = ["title", "seniority", "city", "work_mode", "employment_type"]
     return jobs.groupBy(*keys).agg(F.count("*").alias("job_count"), _avg0("salary_min_vnd").alias("avg_salary_min"), _avg0("salary_max_vnd").alias("avg_salary_max"))
 
 
@@ -52,12 +52,15 @@ def skill_demand(jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, deno
     return out.withColumn("penetration_pct", F.round(F.col("demand") * 100.0 / F.col("_jobs"), 2)).drop("_jobs")
 
 
-def skill_cooccurrence(job_skills: DataFrame, least: int = 5) -> DataFrame:
-    """Pairs of skills in one job. A job's skills are few and distinct, so the pairs of a job are as well."""
+def skill_cooccurrence(job_skills: DataFrame, skills: DataFrame, least: int = 5) -> DataFrame:
+    """Pairs of skills in one job, with their names and categories. A job's skills are few and distinct, so the pairs of a job are as well."""
     pairs = job_skills.select("job_id", "skill_id").distinct().groupBy("job_id").agg(F.array_sort(F.collect_list("skill_id")).alias("own"))
     left = pairs.select("own", F.posexplode("own").alias("at", "skill_a"))
     both = left.select("skill_a", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("skill_b"))
-    return both.groupBy("skill_a", "skill_b").agg(F.count("*").alias("pair_count")).where(F.col("pair_count") >= least)
+    counted = both.groupBy("skill_a", "skill_b").agg(F.count("*").alias("pair_count")).where(F.col("pair_count") >= least)
+    for side in "ab":
+        counted = counted.join(skills.select(F.col("skill_id").alias(f"skill_{side}"), F.col("skill_name").alias(f"name_{side}"), F.col("skill_category").alias(f"category_{side}")), f"skill_{side}")
+    return counted
 
 
 def salary_experience_matrix(jobs: DataFrame) -> DataFrame:
@@ -72,9 +75,13 @@ def rollup_average(frame: DataFrame, key: str) -> DataFrame:
 
 
 def tech_stack(jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, least: int = 10, names: int = 5) -> DataFrame:
+    """Jobs, average salary and the first names of each category. Names come from the distinct skills in use, ``names`` of them a category."""
     joined = job_skills.join(jobs, "job_id").join(skills, "skill_id")
-    out = joined.groupBy("skill_category").agg(F.count_distinct("job_id").alias("job_count"), _avg0("salary_max_vnd").alias("avg_salary_max"), F.array_join(F.slice(F.array_sort(F.collect_set("skill_name")), 1, names), ", ").alias("top_skills"))
-    return out.where(F.col("job_count") >= least)
+    out = joined.groupBy("skill_category").agg(F.count_distinct("job_id").alias("job_count"), _avg0("salary_max_vnd").alias("avg_salary_max")).where(F.col("job_count") >= least)
+    used = joined.select("skill_category", "skill_name").where("skill_name is not null").distinct()
+    first = used.withColumn("_n", F.row_number().over(W.partitionBy("skill_category").orderBy("skill_name"))).where(F.col("_n") <= names)
+    listed = first.groupBy("skill_category").agg(F.array_join(F.array_sort(F.collect_list("skill_name")), ", ").alias("top_skills"))
+    return out.join(listed, "skill_category", "left").withColumn("top_skills", F.coalesce("top_skills", F.lit("")))
 
 
 def highest_paying(demand: DataFrame, k: int = 15, least: int = 8) -> DataFrame:

@@ -57,3 +57,35 @@ def rmse(frame: DataFrame, actual: str, predicted: str) -> DataFrame:
 def weight_sweep(parts: DataFrame, candidates: list[dict[str, float]], evaluate, score) -> list[tuple[dict, float]]:
     """Each candidate's weights and the metric that ``evaluate`` gives for rows scored with them; for ablations and grids."""
     return [(w, evaluate(parts.withColumn("score", score(w)))) for w in candidates]
+
+
+def skill_coverage_at(ranked: DataFrame, user_skills: DataFrame, job_skills: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """The mean share of a shown item's skills that the user has, over the first k; an item without skills counts as 0.
+
+    user_skills: (query, skills), job_skills: (item, skills), both arrays.
+    """
+    own = F.transform(F.coalesce("_own", F.array().cast("array<string>")), F.lower)
+    wanted = F.array_distinct(F.transform(F.coalesce("_wanted", F.array().cast("array<string>")), F.lower))
+    share = F.size(F.array_intersect(own, wanted)) / F.greatest(F.size(wanted), F.lit(1))
+    top = ranked.where(F.col("rank") <= k).select(query, item)
+    joined = top.join(user_skills.select(query, F.col("skills").alias("_own")), query, "left").join(job_skills.select(item, F.col("skills").alias("_wanted")), item, "left")
+    return joined.groupBy(query).agg(F.avg(share).alias("skill_coverage"))
+
+
+def oracle_precision_at(ranked: DataFrame, oracle: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """The share of the first k that an oracle's first k hold as well."""
+    best = oracle.where(F.col("rank") <= k).select(query, item).withColumn("_hit", F.lit(1))
+    return ranked.where(F.col("rank") <= k).select(query, item).join(best, [query, item], "left").groupBy(query).agg((F.sum(F.coalesce("_hit", F.lit(0))) / k).alias("oracle_precision"))
+
+
+def cold_start_recall(ranked: DataFrame, relevant: DataFrame, warm: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """Over all queries: the share of relevant items without earlier events that are shown among the first k; null if there are none."""
+    cold = relevant.select(query, item).join(warm.select(item).distinct(), item, "left_anti")
+    shown = ranked.where(F.col("rank") <= k).select(query, item).withColumn("_hit", F.lit(1))
+    return cold.join(shown, [query, item], "left").agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count("*")).alias("cold_recall"))
+
+
+def random_split(frame: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows by a seeded hash of their key: about ``share`` of them, and the others. Reruns agree."""
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**40))) / 2.0**40
+    return frame.where(uniform < share), frame.where(uniform >= share)

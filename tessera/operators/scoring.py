@@ -53,8 +53,8 @@ def combine(parts: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Co
     return F.when(total > 0, F.round(value / total, 4)).otherwise(0.0)
 
 
-def recommend(profiles: DataFrame, jobs: DataFrame, similarity: DataFrame, k: int = 10, groups: list[list[str]] = (), weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The k best jobs of each profile with all component scores.
+def score_jobs(profiles: DataFrame, jobs: DataFrame, similarity: DataFrame, groups: list[list[str]] = (), weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Every job's score and component scores for each profile.
 
     profiles: profile_id, skills, years, city, modes, min_salary. jobs: job_id,
     required_skills, experience_min/max, city, work_mode, salary_min/max,
@@ -72,6 +72,24 @@ def recommend(profiles: DataFrame, jobs: DataFrame, similarity: DataFrame, k: in
     })
     score = combine({"skills": F.col("s_skills"), "text": F.col("s_text"), "exp": F.col("s_exp"), "loc": F.col("s_loc"), "sal": F.col("s_sal")}, weights)
     both = both.withColumn("score", F.when(F.coalesce("is_active", F.lit(True)), score).otherwise(-1.0))
+    return both.select("profile_id", "job_id", "score", "s_skills", "s_text", "s_exp", "s_loc", "s_sal", F.col("_skills").alias("profile_skills"), "required_skills", F.coalesce("is_active", F.lit(True)).alias("is_active"))
+
+
+def recommend(profiles: DataFrame, jobs: DataFrame, similarity: DataFrame, k: int = 10, groups: list[list[str]] = (), weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The k best jobs of each profile with all component scores; see score_jobs()."""
     from .relational import top_k
 
-    return top_k(both.select("profile_id", "job_id", "score", "s_skills", "s_text", "s_exp", "s_loc", "s_sal"), k, "score", ["job_id"], ["profile_id"])
+    scored = score_jobs(profiles, jobs, similarity, groups, weights)
+    return top_k(scored.drop("profile_skills", "required_skills", "is_active"), k, "score", ["job_id"], ["profile_id"])
+
+
+def fit_report(profiles: DataFrame, jobs: DataFrame, similarity: DataFrame, wanted: DataFrame, groups: list[list[str]] = (), weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """For each wanted (profile_id, job_id): its scores, its rank among the active jobs, their number, and the exact, related and missing skills."""
+    scored = score_jobs(profiles, jobs, similarity, groups, weights)
+    own = wanted.select("profile_id", "job_id").join(scored, ["profile_id", "job_id"])
+    others = scored.select("profile_id", F.col("score").alias("_score"), F.col("is_active").alias("_active"))
+    placed = others.join(own.select("profile_id", "job_id", F.col("score").alias("_own")), "profile_id").groupBy("profile_id", "job_id").agg(
+        (F.count_if(F.col("_active") & (F.col("_score") > F.col("_own"))) + 1).alias("rank"), F.count_if("_active").alias("active_jobs")
+    )
+    match = split_match(F.col("profile_skills"), F.col("required_skills"), groups)
+    return own.join(placed, ["profile_id", "job_id"]).withColumn("_m", match).select("profile_id", "job_id", "score", "s_skills", "s_text", "s_exp", "s_loc", "s_sal", "rank", "active_jobs", "_m.exact", "_m.related", "_m.missing")

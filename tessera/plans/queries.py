@@ -49,7 +49,7 @@ def market_kpis(t):
     return gold.market_kpis(t.jobs, t.companies, t.job_skills)
 
 
-_MATRIX = "SELECT seniority, city, work_mode, count(*) AS job_count, round(avg(salary_min_vnd), 0) AS avg_salary_min, round(avg(salary_max_vnd), 0) AS avg_salary_max FROM jobs GROUP BY 1, 2, 3"
+_MATRIX = "SELECT title, seniority, city, work_mode, employment_type, count(*) AS job_count, round(avg(salary_min_vnd), 0) AS avg_salary_min, round(avg(salary_max_vnd), 0) AS avg_salary_max FROM jobs GROUP BY 1, 2, 3, 4, 5"
 
 
 @query(_MATRIX)
@@ -63,9 +63,10 @@ def company_rankings(t):
     return gold.company_rankings(t.jobs.drop("company_name"), t.companies)
 
 
-@query("SELECT a.skill_id AS skill_a, b.skill_id AS skill_b, count(*) AS pair_count FROM job_skills a JOIN job_skills b ON a.job_id = b.job_id AND a.skill_id < b.skill_id GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("""WITH p AS (SELECT a.skill_id AS skill_a, b.skill_id AS skill_b, count(*) AS pair_count FROM job_skills a JOIN job_skills b ON a.job_id = b.job_id AND a.skill_id < b.skill_id GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT p.*, x.skill_name AS name_a, x.skill_category AS category_a, y.skill_name AS name_b, y.skill_category AS category_b FROM p JOIN skills x ON x.skill_id = skill_a JOIN skills y ON y.skill_id = skill_b""")
 def skill_cooccurrence(t):
-    return gold.skill_cooccurrence(t.job_skills, 2)
+    return gold.skill_cooccurrence(t.job_skills, t.skills, 2)
 
 
 @query("""SELECT seniority, CASE WHEN experience_min = 0 AND (experience_max IS NULL OR experience_max <= 1) THEN '0 năm (Fresher/Intern)' WHEN experience_min = 1 OR experience_max = 1 THEN '1 năm' WHEN experience_min BETWEEN 2 AND 3 THEN '2 - 3 năm'
@@ -274,13 +275,18 @@ def company_keys(t):
     return t.table("customer").select("c_custkey", text.company_key(F.col("c_name")).alias("key"))
 
 
-@query("""WITH s AS (SELECT o_custkey, list_distinct(array_agg(o_orderpriority)) AS p FROM orders GROUP BY 1), k AS (SELECT * FROM s WHERE o_custkey % 50 = 0)
+@query("""WITH s AS (SELECT o_custkey, list_distinct(array_agg(o_orderpriority)) AS p FROM orders GROUP BY 1), k AS (SELECT * FROM s WHERE o_custkey % 20 = 0)
  SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM k a JOIN s b ON a.o_custkey <> b.o_custkey""")
 def jaccard_pairs(t):
-    """The customers whose number is divisible by 50 are the stated queries, against all customers."""
-    sets = t.table("orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
-    queries = sets.where("o_custkey % 50 = 0").toDF("a", "pa")
-    return queries.join(sets.toDF("b", "pb"), F.expr("a <> b")).select("a", "b", F.round(text.jaccard(F.col("pa"), F.col("pb")), 6).alias("jaccard"))
+    """The customers whose number is divisible by 20 are the stated queries, against all customers.
+
+    Priorities are five, so there are at most 31 different sets; only those are compared with each other.
+    """
+    sets = t.table("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("p"))
+    kinds = sets.select("p").distinct()
+    likeness = kinds.toDF("pa").crossJoin(F.broadcast(kinds.toDF("pb"))).select("pa", "pb", F.round(text.jaccard(F.col("pa"), F.col("pb")), 6).alias("jaccard"))  # at most 31 by 31
+    queries = sets.where("o_custkey % 20 = 0").toDF("a", "pa").join(F.broadcast(likeness), "pa")
+    return queries.join(sets.toDF("b", "pb"), "pb").where("a <> b").select("a", "b", "jaccard")
 
 
 @query(r"""SELECT page_id, CASE WHEN contains(h, '.') AND h NOT IN ('topcv.vn','vietnamworks.com','topdev.vn','saramin.vn','itviec.com') THEN h END AS domain FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '') AS h FROM pages)""")
@@ -318,16 +324,15 @@ def content_hash_duplicates(t):
     return hashed.agg(F.count("*").alias("total"), (F.count("*") - F.count_distinct("h")).alias("duplicates"))
 
 
-_TF = r"""bench AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') AS text FROM benchmark),
- tok AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM bench),
+_TF = r"""bench AS (SELECT item_id, text FROM benchmark),
+ tok AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_]{2,}')) AS term FROM bench),
  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM bench),
  raw AS (SELECT doc_id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), n), nrm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY 1),
  w AS (SELECT doc_id, term, raw / norm AS weight FROM raw JOIN nrm USING (doc_id))"""
 
 
 def _bench_weights(t):
-    ascii_only = t.table("benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7f]", " ").alias("text"))
-    return ret.tfidf(ascii_only, "item_id", "text", bigrams=False)
+    return ret.tfidf(t.table("benchmark"), "item_id", "text", bigrams=False)
 
 
 @query(f"WITH {_TF} SELECT doc_id, term, round(weight, 6) AS weight FROM w")
@@ -532,3 +537,6 @@ def dq_rules(t):
 def skills_in_conversations(t):
     dictionary = {"the": "The", "and": "And", "data": "Data", "sql": "SQL", "python": "Python", "c++": "C++"}
     return t.table("conversations").select("conv_id", "turn", F.array_join(sk.scan_text(F.col("text"), dictionary), ",").alias("skills"))
+
+
+from . import golden as _golden, market as _market  # noqa: E402, F401  they register further queries

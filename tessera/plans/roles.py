@@ -26,7 +26,7 @@ class Tables:
         return joined.select(
             F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("company_id"), (status == "O").alias("is_active"), F.col("o_orderpriority").alias("seniority"), F.col("n_name").alias("city"), mode.alias("work_mode"),
             F.when(status != "P", F.col("o_totalprice") * 0.5).alias("salary_min_vnd"), F.when(status != "P", F.col("o_totalprice")).alias("salary_max_vnd"),
-            F.when(status != "P", F.month("o_orderdate") % 7).cast("double").alias("experience_min"), F.when(status == "F", F.month("o_orderdate") % 7 + 1).cast("double").alias("experience_max"), F.when(status == "P", "negotiable").otherwise("range").alias("salary_type"), F.col("o_orderdate").alias("published_at"), F.concat_ws(" ", F.lower("o_orderpriority"), "c_mktsegment").alias("title"), F.col("c_name").alias("company_name"),
+            F.when(status != "P", F.month("o_orderdate") % 7).cast("double").alias("experience_min"), F.when(status == "F", F.month("o_orderdate") % 7 + 1).cast("double").alias("experience_max"), F.when(status == "P", "negotiable").otherwise("range").alias("salary_type"), F.col("o_orderdate").alias("published_at"), F.concat_ws(" ", F.lower("o_orderpriority"), "c_mktsegment").alias("title"), F.when(F.month("o_orderdate") % 4 == 0, "Contract").otherwise("Full-time").alias("employment_type"), F.col("c_name").alias("company_name"),
         )
 
     @property
@@ -60,7 +60,7 @@ jobs AS (
          CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * 0.5::DOUBLE END AS salary_min_vnd, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS salary_max_vnd,
          CASE WHEN o_orderstatus <> 'P' THEN (month(o_orderdate) % 7)::DOUBLE END AS experience_min, CASE WHEN o_orderstatus = 'F' THEN (month(o_orderdate) % 7 + 1)::DOUBLE END AS experience_max,
          CASE WHEN o_orderstatus = 'P' THEN 'negotiable' ELSE 'range' END AS salary_type, o_orderdate AS published_at,
-         lower(o_orderpriority) || ' ' || c_mktsegment AS title, c_name AS company_name
+         lower(o_orderpriority) || ' ' || c_mktsegment AS title, CASE WHEN month(o_orderdate) % 4 = 0 THEN 'Contract' ELSE 'Full-time' END AS employment_type, c_name AS company_name
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 companies AS (SELECT c_custkey AS company_id, c_name AS company_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS industry FROM customer),
 skills AS (SELECT p_partkey AS skill_id, p_name AS skill_name, p_type AS skill_category FROM part),

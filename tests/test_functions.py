@@ -98,11 +98,19 @@ def test_skills(spark):
 
 
 def test_trade_filter(spark):
-    core = ("python", "sql")
-    check = categorize.is_trade_job(C("a"), C("b"), None, core)
+    check = categorize.is_trade_job(C("a"), C("b"))
     schema = "a string, b array<string>"
     assert one(spark, check, schema, "Senior Backend Developer", None) and one(spark, check, schema, "Chuyên viên", ["Python", "SQL"])
     assert not one(spark, check, schema, "Nhân viên thiết kế đồ họa", ["Photoshop"]) and not one(spark, check, schema, None, None)
+    for title in ("Lập trình viên", "QA", "Data Scientist", "AI Researcher", "Chuyên viên PHẦN MỀM", "Nhân viên IT", "DBA/ETL", "kỹ sư cầu nối BrSE", ".NET", "low-code"):
+        assert one(spark, check, schema, title, None), title
+    for title in ("E-learning content writer", "Machine operator", "Writer", "Nhân viên kinh doanh", "Maid", "Database".replace("Data", "Gym")):
+        assert not one(spark, check, schema, title, None), title
+    assert not one(spark, check, schema, "x", ["Python", "python ", "PYTHON"]) and one(spark, check, schema, "x", ["Python ", "CI/CD"])
+    assert one(spark, categorize.is_trade_job(C("a"), C("b"), "baker", ("bread",), 1), schema, "x", ["Bread"])
+    names = {"python": "Python", "go": "Golang"}
+    tagged = one(spark, skills.skills_and_tags(C("c"), F.lit("go python"), names, categorize.JUNK_TAGS, categorize.AMBIGUOUS_SKILLS), "c string", "Bảo hiểm | Fintech | Du lịch hè | Team  building")
+    assert tagged.skills == ["Python"] and tagged.tags == ["Fintech"]
 
 
 def test_dates(spark):
