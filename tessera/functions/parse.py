@@ -148,6 +148,7 @@ def _experience(c: Column, none_words, months: bool) -> Column:
     def group(pattern, i=1):
         return F.regexp_extract(s, f"(?U){pattern}", i).try_cast("double")
 
+    # The forms of required years.
     between = r"(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)\s*năm"
     least = r"(?:trên|từ|tối thiểu|\+)\s*(\d+(?:\.\d+)?)\s*năm|(\d+(?:\.\d+)?)\s*(?:\+|năm trở lên)"
     most = r"dưới\s*(\d+(?:\.\d+)?)\s*năm"

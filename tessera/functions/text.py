@@ -89,6 +89,7 @@ def clean_company_name_star(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "Unknown Company").otherwise(strip(squeeze(name), " -|/,"))
 
 
+# What is cut from titles, here and in both clean_job_title functions.
 _TITLE_MONEY = r"(?:-|\|)?\s*(?:thu nhập|lương|up to|upto|lên đến|tới)\s*.*$"
 _TITLE_TEASER = r"(?:-|\|)?\s*(?:hấp dẫn|deal|thỏa thuận|cạnh tranh)\s*$"
 _TITLE_URGENT = r"^\s*(?:tuyển gấp|tuyển dụng|gấp:?)\s*"

@@ -32,7 +32,12 @@ def deduplicate(jobs: DataFrame, id_col: str = "job_id", title_similarity: float
     left, right = distinct.alias("l"), distinct.alias("r")
     by_title = left.join(right, F.expr("l._tk = r._tk and l._id < r._id and length(l._tk) >= 3 and l._ck <> r._ck")).where(companies_compatible(F.col("l._ct"), F.col("r._ct"))).select(F.col("l._id").alias("a"), F.col("r._id").alias("b"), F.lit(2).alias("layer"), F.lit(title_similarity).alias("least"))
     similar = jaccard(F.split("l._tk", " "), F.split("r._tk", " ")) >= title_overlap
-    by_company = left.join(right, F.expr("l._ck = r._ck and l._id < r._id and l._tk <> r._tk and l._city = r._city and l._exp <=> r._exp")).where(similar).select(F.col("l._id").alias("a"), F.col("r._id").alias("b"), F.lit(3).alias("layer"), F.lit(company_similarity).alias("least"))
+    # titles whose token sets overlap so much share one of their first tokens in any fixed order
+    tokens = F.array_sort(F.array_distinct(F.split("_tk", " ")), lambda x, y: F.when(F.xxhash64(x) < F.xxhash64(y), -1).when(F.xxhash64(x) > F.xxhash64(y), 1).otherwise(0))
+    prefixed = distinct.withColumn("_tokens", tokens).withColumn("_token", F.explode(F.slice("_tokens", F.lit(1), (F.size("_tokens") - F.ceil(F.size("_tokens") * title_overlap - 1e-9) + 1).cast("int"))))
+    one, other = prefixed.alias("l"), prefixed.alias("r")
+    near = one.join(other, F.expr("l._ck = r._ck and l._token = r._token and l._city <=> r._city and l._exp <=> r._exp and l._id < r._id and l._tk <> r._tk")).where(F.col("l._city").isNotNull() & similar)
+    by_company = near.select(F.col("l._id").alias("a"), F.col("r._id").alias("b"), F.lit(3).alias("layer"), F.lit(company_similarity).alias("least")).distinct()
     pairs = by_title.unionByName(by_company)
     wa, wb = weights.toDF("a", "term", "wa"), weights.toDF("b", "term", "wb")
     cosine = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b", "layer", "least").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))

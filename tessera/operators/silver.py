@@ -106,7 +106,7 @@ def snapshots(records: DataFrame, today: Column) -> DataFrame:
     return numbered(frame.select("job_id", "observed_at", "batch_id", "title_raw", "location_raw", "salary_raw", "content_hash"), "snapshot_id", ["job_id", "observed_at"])
 
 
-def clean_flat(records: DataFrame, listings: DataFrame, today: Column, dictionary: dict[str, str], junk: str, ambiguous: frozenset[str] = frozenset(), trade_pattern: str | None = None, core: tuple[str, ...] = ()) -> DataFrame:
+def clean_flat(records: DataFrame, listings: DataFrame, today: Column, dictionary: dict[str, str], junk: str, ambiguous: frozenset[str] = frozenset(), trade_pattern: str = cat.TRADE_TITLE, core: tuple[str, ...] = cat.CORE_SKILLS) -> DataFrame:
     """The flat path's clean table. A logo is looked for by address, then by company name, among listings."""
     from ..functions.skills import preferred_skills, skills_and_tags
 

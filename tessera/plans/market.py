@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import categorize as cat, dom, parse, text
+from ..functions import categorize as cat, dom, text
 from ..operators import gold, insights as ins, metrics, relational as rel, scoring
 from .queries import _MATRIX, query
 

@@ -139,6 +139,15 @@ def entry_level(t):
     return gold.entry_level(t.jobs, ("5-LOW",), ("household",)).select("job_id", "seniority", "title")
 
 
+@query("""SELECT min(o_orderkey) AS o_orderkey, 'c' || o_custkey AS listing FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY o_custkey""")
+def crawl_frontier(t):
+    """Customers as listings, their orders as attempts; customers with an urgent order count as crawled."""
+    o = t.table("orders")
+    listings = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("listing"), "o_orderkey", F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("detail_status"))
+    crawled = o.where("o_orderpriority like '1%'").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("listing")).distinct()
+    return rel.frontier(listings, crawled, "listing", "o_orderkey").select("o_orderkey", "listing")
+
+
 @query("SELECT o.o_orderkey FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL")
 def anti_join_frontier(t):
     return rel.orphans(t.table("orders"), t.table("lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey")
@@ -340,10 +349,11 @@ def tfidf_weights(t):
     return _bench_weights(t).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_TF}, s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.weight * d.weight), 6) AS similarity FROM w q JOIN w d ON q.term = d.term AND q.doc_id <> d.doc_id GROUP BY 1, 2) SELECT query_id, doc_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 5")
+@query(f"WITH {_TF}, s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.weight * d.weight), 6) AS similarity FROM w q JOIN w d ON q.term = d.term AND q.doc_id <> d.doc_id AND q.doc_id % 20 = 0 GROUP BY 1, 2) SELECT query_id, doc_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 5")
 def text_query_topk(t):
     w = _bench_weights(t)
-    scored = ret.cosine_scores(w, w).where("query_id <> doc_id").withColumn("similarity", F.round("similarity", 6))
+    # the items whose number is divisible by 20 are the stated queries, against all items
+    scored = ret.cosine_scores(w.where("doc_id % 20 = 0"), w).where("query_id <> doc_id").withColumn("similarity", F.round("similarity", 6))
     return rel.top_k(scored, 5, "similarity", ["doc_id"], ["query_id"])
 
 
@@ -437,13 +447,11 @@ def component_scores(t):
     return _parts(t)
 
 
-@query(f"""WITH {_PARTS} SELECT job_id, round((0.1::DOUBLE * s_exp + 0.1::DOUBLE * s_loc + coalesce(0.1::DOUBLE * s_sal, 0)) / (0.2::DOUBLE + CASE WHEN s_sal IS NULL THEN 0 ELSE 0.1::DOUBLE END), 3) AS score FROM p""")
+@query(f"""WITH {_PARTS} SELECT job_id, round((0.1::DOUBLE * s_exp + 0.1::DOUBLE * s_loc + coalesce(0.1::DOUBLE * s_sal, 0)) / (0.2::DOUBLE + CASE WHEN s_sal IS NULL THEN 0 ELSE 0.1::DOUBLE END), 4) AS score FROM p""")
 def null_rescaled_score(t):
     scored = _parts(t).withColumns({"s_skills": F.lit(None).cast("double"), "s_text": F.lit(None).cast("double")})
-    parts = {k: F.col(f"s_{k}") for k in ("skills", "text", "exp", "loc", "sal")}
-    total = sum((F.when(parts[k].isNotNull(), F.lit(w)).otherwise(0.0) for k, w in scoring.WEIGHTS.items()), F.lit(0.0))
-    value = sum((F.coalesce(parts[k] * w, F.lit(0.0)) for k, w in scoring.WEIGHTS.items()), F.lit(0.0))
-    return scored.select("job_id", F.round(value / total, 3).alias("score"))
+    return scored.select("job_id", scoring.combine({k: F.col(f"s_{k}") for k in scoring.WEIGHTS}).alias("score"))
+
 
 
 def _ranked(t):
