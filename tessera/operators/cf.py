@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+from .relational import pairs_within
 from .retrieval import dot
+from .silver import numbered
 
 # Fixed values.
 EVENT_WEIGHTS = {"click": 1.0, "save": 3.0, "apply": 5.0}
@@ -32,10 +35,11 @@ def item_cosine(pairs: DataFrame) -> DataFrame:
     """job_a, job_b, similarity (both directions) of binary user sets, without the diagonal."""
     sets = pairs.select("user_id", "job_id").distinct()
     sizes = sets.groupBy("job_id").agg(F.count("*").alias("n"))
-    a, b = sets.toDF("user_id", "job_a"), sets.toDF("user_id", "job_b")
-    common = a.join(b, "user_id").where("job_a <> job_b").groupBy("job_a", "job_b").agg(F.count("*").alias("shared"))
-    joined = common.join(sizes.toDF("job_a", "na"), "job_a").join(sizes.toDF("job_b", "nb"), "job_b")
-    return joined.select("job_a", "job_b", (F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("similarity"))
+    common = pairs_within(sets, "user_id", "job_id").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    joined = common.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    similarity = (F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("similarity")
+    both = F.explode(F.array(F.struct(F.col("a").alias("job_a"), F.col("b").alias("job_b")), F.struct(F.col("b").alias("job_a"), F.col("a").alias("job_b")))).alias("_p")
+    return joined.select(both, similarity).select("_p.job_a", "_p.job_b", "similarity")
 
 
 def item_knn_scores(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
@@ -105,19 +109,16 @@ def _half_step(pairs: DataFrame, solve_for: str, given: str, factors: DataFrame,
 def als(pairs: DataFrame, k: int = 8, reg: float = 0.1, alpha: float = 1.0, rounds: int = 12, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(user factors, job factors) as (id, factors) of implicit ALS with unscaled regularisation.
 
-    Factors are checkpointed each half round, to the shared folder if one is set, so lineage stays short.
+    Factors are checkpointed each half round, so lineage stays short.
     """
     uniform = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "job_id"), F.lit(2**40)) + 0.5) / 2.0**40 for i in range(2 * k)]
     normal = [F.sqrt(-2 * F.log(uniform[2 * i])) * F.cos(2 * np.pi * uniform[2 * i + 1]) * 0.01 for i in range(k)]
     jobs = pairs.select("job_id").distinct().select(F.col("job_id").alias("id"), F.array(*normal).alias("factors"))
-    pairs = pairs.persist()
-    can_checkpoint = pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    pairs = cut_lineage(pairs)
     users = None
     for _ in range(rounds):
-        users = _half_step(pairs, "user_id", "job_id", jobs, k, alpha, reg)
-        users = users.checkpoint() if can_checkpoint else users.localCheckpoint()
-        jobs = _half_step(pairs, "job_id", "user_id", users, k, alpha, reg)
-        jobs = jobs.checkpoint() if can_checkpoint else jobs.localCheckpoint()
+        users = cut_lineage(_half_step(pairs, "user_id", "job_id", jobs, k, alpha, reg))
+        jobs = cut_lineage(_half_step(pairs, "job_id", "user_id", users, k, alpha, reg))
     return users, jobs
 
 
@@ -156,7 +157,7 @@ def truncated_svd(pairs: DataFrame, k: int):
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    index = pairs.select("job_id").distinct().withColumn("at", F.row_number().over(W.orderBy("job_id")) - 1)
+    index = numbered(pairs.select("job_id").distinct(), "at", ["job_id"]).withColumn("at", F.col("at") - 1)
     n = index.count()
     rows = pairs.join(index, "job_id").select("user_id", "at").distinct().groupBy("user_id").agg(F.array_sort(F.collect_list("at")).alias("at"))
     matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, r["at"], [1.0] * len(r["at"]))))

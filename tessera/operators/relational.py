@@ -118,8 +118,27 @@ def first_seen(items: Column) -> Column:
     return F.aggregate(F.coalesce(items, none), none, add)
 
 
+def pairs_within(sets: DataFrame, group: str, item: str, block: int = 512, most_hot: int = 65_536) -> DataFrame:
+    """(a, b), a < b, of the items of each group, once for each group; sets has distinct (group, item) rows.
+
+    Groups of more than ``block`` items, and of more than one part in
+    ``most_hot`` of all rows, are dealt out in blocks of which every two meet by
+    themselves. There are fewer than most_hot such groups, so they are broadcast.
+    """
+    sets = sets.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(item).alias("_i"))
+    counts = sets.groupBy("_g").agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") > max(block, total // most_hot)))
+    cold = sets.join(hot, "_g", "left_anti")
+    n_blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = sets.join(hot, "_g").withColumn("_b", F.pmod(F.xxhash64("_i"), n_blocks).cast("int"))
+    first = dealt.select("_g", F.col("_i").alias("x"), F.col("_b").alias("_low"), F.explode(F.sequence(F.col("_b"), n_blocks - 1)).alias("_high"))
+    second = dealt.select("_g", F.col("_i").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_low"), F.col("_b").alias("_high"))
+    pairs = cold.toDF("_g", "x").join(cold.toDF("_g", "y"), "_g").where("x < y").select("x", "y")
+    more = first.join(second, ["_g", "_low", "_high"]).where("x < y or (_low < _high and x <> y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return pairs.unionByName(more).toDF("a", "b")
+
+
 def pair_counts(frame: DataFrame, item: str, group: str) -> DataFrame:
     """How many groups hold both of a pair of distinct items (a < b)."""
-    sets = frame.select(group, item).distinct()
-    left, right = sets.toDF(group, "a"), sets.toDF(group, "b")
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs_within(frame.select(group, item).distinct(), group, item).groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -49,7 +49,11 @@ def realism(impressions: DataFrame, events: DataFrame) -> DataFrame:
     kinds = events.agg(F.count_if(F.col("event") == "click").alias("clicks"), F.count_if(F.col("event") == "apply").alias("applies"))
     by_user = impressions.select("user_id").distinct().join(events.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     users = by_user.agg(F.percentile("n", 0.5).alias("median_events"), F.percentile("n", 0.9).alias("p90_events"), F.avg((F.col("n") == 0).cast("double")).alias("silent_users"))
-    by_job = events.groupBy("job_id").agg(F.count("*").alias("n")).withColumn("_r", F.percent_rank().over(W.partitionBy().orderBy(F.col("n").desc())))
-    head = by_job.agg((F.sum(F.when(F.col("_r") < 0.1, F.col("n")).otherwise(0)) / F.sum("n")).alias("head_share"))
+    # jobs by their number of events: few different numbers, so the window is over a short table
+    spread = events.groupBy("job_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("jobs"))
+    before = F.coalesce(F.sum("jobs").over(W.partitionBy().orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = spread.withColumns({"_before": before, "_all": F.sum("jobs").over(W.partitionBy())})
+    in_head = F.col("_before") < 0.1 * F.greatest(F.col("_all") - 1, F.lit(1))
+    head = ranked.agg((F.sum(F.when(in_head, F.col("n") * F.col("jobs")).otherwise(0)) / F.sum(F.col("n") * F.col("jobs"))).alias("head_share"))
     one = shown.crossJoin(kinds).crossJoin(users).crossJoin(head)  # a row each
     return one.withColumns({"ctr": F.try_divide(F.col("clicks"), F.col("impressions")), "apply_rate": F.try_divide(F.col("applies"), F.col("clicks"))})

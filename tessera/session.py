@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REPO = str(Path(__file__).resolve().parent.parent)
 #: Texts may be long, so batches for Python are bounded by bytes besides rows.
@@ -42,3 +43,19 @@ def read_table(spark: SparkSession, base: str, name: str):
     """One of the parquet tables under ``base``."""
     share_code(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """frame, checkpointed to the folder in spark.checkpoint.dir, which all executors share.
+
+    Where the setting is absent a local session, as in tests, gets a folder of its own; a cluster must name one.
+    """
+    sc = frame.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            found = os.path.join(tempfile.gettempdir(), "checkpoints")
+        sc.setCheckpointDir(found)
+    return frame.checkpoint()

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 from tessera.functions import dom
+from tessera.operators import relational, simulate
 from tessera.plans import run as runs
 
 LONG = "Phát triển hệ thống với Python và SQL. " * 6
@@ -62,3 +63,20 @@ def test_lines_of_elements(spark):
     assert [dom.lines_of(s) for s in (None, "", "plain", "<p>open", "</div>x")] == ["", "", "plain", "open", "x"]
     frame = spark.createDataFrame([(source,), (None,)], "c string")
     assert [r.v for r in frame.select(dom.clean_html_dom(frame.c).alias("v")).collect()] == [expected, ""]
+
+
+def test_pairs_of_hot_groups(spark):
+    rows = [(g, i) for g, n in ((1, 40), (2, 3), (3, 1), (None, 9)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "g int, i int")
+    expected = sorted([(a, b) for n in (40, 3) for a in range(n) for b in range(a + 1, n)])
+    for block in (4, 7, 512):
+        assert sorted(map(tuple, relational.pairs_within(frame, "g", "i", block).collect())) == expected
+    counts = {(r.a, r.b): r.n for r in relational.pair_counts(frame, "i", "g").collect()}
+    assert counts[(0, 1)] == 2 and counts[(0, 39)] == 1 and len(counts) == 780
+
+
+def test_head_share(spark):
+    shown = spark.createDataFrame([(1, i) for i in range(40)], "user_id int, job_id int")
+    events = spark.createDataFrame([(1, i, "click") for i in range(21) for _ in range(30 if i < 2 else 1)], "user_id int, job_id int, event string")
+    [row] = simulate.realism(shown, events).collect()
+    assert abs(row.head_share - 60 / 79) < 1e-9 and row.clicks == 79
