@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 REPO = str(Path(__file__).resolve().parent.parent)
 #: Texts may be long, so batches for Python are bounded by bytes besides rows.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
+#: Python workers give freed memory back instead of keeping it for later batches.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576"}
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -35,6 +37,7 @@ def share_code(spark: SparkSession) -> None:
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     env = spark.sparkContext.environment
+    env.update(WORKER_MEMORY)
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), REPO]))
 
