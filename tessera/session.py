@@ -12,7 +12,7 @@ REPO = str(Path(__file__).resolve().parent.parent)
 #: Texts may be long, so batches for Python are bounded by bytes besides rows.
 ARROW_BATCH_BYTES = 8 << 20
 #: Python workers give freed memory back instead of keeping it for later batches.
-WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576"}
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
