@@ -239,6 +239,7 @@ def _left_apart(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFram
     """
     ratio = int(round(100 * threshold))
     items = sets.select("id", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n_own"), F.explode("shingles").alias("shingle"))
+    items = materialise(items, "items")  # read thrice, and listed once
     common = materialise(items.groupBy("shingle").agg(F.count("*").alias("n")), "frequencies")
     hot = _hot(common)
     counted = items.join(hot, "shingle").unionByName(items.join(hot, "shingle", "left_anti").join(common, "shingle"))

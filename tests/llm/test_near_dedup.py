@@ -81,6 +81,31 @@ def test_hot_shingles_are_dealt_out(spark, monkeypatch, hot_rows):
     assert got == expected
 
 
+def exploded_shingles(spark):
+    """Rows that all plans so far made by listing sets, from the metrics of SQL executions."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        number = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name() == "Generate" and "explode(shingles" in node.desc():
+                metrics = node.metrics()
+                for metric in (metrics.apply(j) for j in range(metrics.size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_sets_are_listed_once_with_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 4)
+    rows = template(60, 12)
+    before = exploded_shingles(spark)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()}
+    assert got == brute(rows)
+    assert 0 < exploded_shingles(spark) - before <= sum(len(shingle_set(t)) for _, t in rows)
+
+
 def test_tiny_sets_against_brute_force(spark):
     rng = random.Random(4)
     rows = []
