@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import categorize, formats, parse, skills, text
-from tessera.operators import cf, dq, gold, hybrid, insights, metrics, profiling, relational, retrieval, silver, upsert
+from tessera.operators import cf, dq, gold, hybrid, insights, metrics, profiling, relational, retrieval, scoring, silver, upsert
 from tessera.sources import pages, raw, sinks
 
 C = F.col
@@ -166,3 +166,37 @@ def test_embedded_pages(spark):
     assert [json.loads(o) for o in pages.embedded_objects(decoded)] == [job] and pages.decode_stream(None) == "" and pages.parse_cards(None) == []
     builder = silver.source_records(spark.createDataFrame([(1, "TopCV", "9", "u", "2026-10-01"), (1, "topcv", "9", "u", "2026-10-01")], "job_id int, source string, source_job_id string, job_url string, crawled_at string"), F.lit(dt.date(2026, 1, 1)))
     assert [(r.source_record_id, r.source_id, r.batch_id) for r in builder.collect()] == [(1, 1, "batch_20261001")]
+
+
+def test_fit_report_ranks(spark):
+    """Ranks of equal, expired and repeated jobs."""
+    n = 4_000
+    profiles = spark.createDataFrame([(1, ["python"], 2.0, "", [], 100.0), (2, [], 9.0, "Huế", [], 0.0)], "profile_id int, skills array<string>, years double, city string, modes array<string>, min_salary double")
+    jobs = spark.range(n).select(
+        F.col("id").alias("job_id"), F.array().cast("array<string>").alias("required_skills"), (F.col("id") % 7).cast("double").alias("experience_min"), (F.col("id") % 7 + 2).cast("double").alias("experience_max"),
+        F.lit("Hà Nội").alias("city"), F.lit("Onsite").alias("work_mode"), F.lit(None).cast("double").alias("salary_min"), (F.col("id") % 100).cast("double").alias("salary_max"), (F.col("id") % 3 != 0).alias("is_active"),
+    )
+    jobs = jobs.unionByName(jobs.where("job_id = 4"))
+    similarity = spark.createDataFrame([(1, 5, 0.5), (1, 7, 0.25)], "profile_id int, job_id long, similarity double")
+    wanted = profiles.crossJoin(jobs.select("job_id").distinct()).select("profile_id", "job_id")
+    report = scoring.fit_report(profiles, jobs, similarity, wanted)
+    got = report.select("profile_id", "job_id", "score", "rank", "active_jobs").collect()
+    assert len(got) == 2 * (n + 1)
+    assert {r.score for r in got if r.job_id % 3 == 0} == {-1.0}
+    for profile in (1, 2):
+        own = [r for r in got if r.profile_id == profile]
+        active = sorted((r.score for r in own if r.job_id % 3), reverse=True)
+        first = {}
+        for i, score in enumerate(active):
+            first.setdefault(score, i + 1)
+        first.setdefault(-1.0, len(active) + 1)
+        assert all((r.rank, r.active_jobs) == (first[r.score], len(active)) for r in own)
+    assert next(r for r in got if (r.profile_id, r.job_id) == (1, 5)).rank == 1
+
+
+def test_peaks_of_null_and_repeated_groups(spark):
+    rows = spark.createDataFrame([(None, 2.0), (None, 1.0), (1, 4.0), (1, 0.0), (2, 0.0)], "g int, v double")
+    got = retrieval.normalise_peak(rows, "g", "v")
+    assert got.columns == ["g", "v"]
+    assert sorted(((r.g or 0, r.v) for r in got.collect())) == [(0, 0.5), (0, 1.0), (1, 0.0), (1, 1.0), (2, 0.0)]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
