@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import categorize, formats, parse, skills, text
-from tessera.operators import cf, dq, gold, hybrid, insights, metrics, profiling, relational, retrieval, scoring, silver, upsert
+from tessera.operators import cf, dedup, dq, gold, hybrid, insights, metrics, profiling, relational, retrieval, scoring, silver, upsert
 from tessera.sources import pages, raw, sinks
 
 C = F.col
@@ -200,3 +200,42 @@ def test_peaks_of_null_and_repeated_groups(spark):
     assert got.columns == ["g", "v"]
     assert sorted(((r.g or 0, r.v) for r in got.collect())) == [(0, 0.5), (0, 1.0), (1, 0.0), (1, 1.0), (2, 0.0)]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deduplication_candidates_against_brute_force(spark):
+    """Titles and companies are compared once each, with the pairs that comparing all rows gives."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        words = rng.sample("abcdefghij", rng.randrange(1, 9))
+        if i % 3 and rows:  # one word more or fewer than an earlier title
+            words = (rows[rng.randrange(len(rows))][2].split() + ["k"])[i % 2 :]
+        company = sorted(set(rng.choices(["fpt", "soft", "viet"], k=rng.randrange(0, 4))))
+        rows.append((" ".join(company), company, " ".join(words), rng.choice(["hn", "hcm", None]), rng.choice([1.0, None]), i))
+    frame = spark.createDataFrame(rows, "_ck string, _ct array<string>, _tk string, _city string, _exp double, _id int")
+    same, similar = set(), set()
+    for x in rows:
+        for y in rows:
+            if x[5] < y[5]:
+                if x[2] == y[2] and len(x[2]) >= 3 and x[0] != y[0] and x[1] and y[1] and (set(x[1]) <= set(y[1]) or set(y[1]) <= set(x[1])):
+                    same.add((x[5], y[5]))
+                a, b = set(x[2].split(" ")), set(y[2].split(" "))
+                if x[0] == y[0] and x[3] is not None and x[3:5] == y[3:5] and x[2] != y[2] and len(a & b) / len(a | b) >= 0.85:
+                    similar.add((x[5], y[5]))
+    assert sorted(map(tuple, dedup._same_titles(frame).collect())) == sorted(same) and same
+    assert sorted(map(tuple, dedup._similar_titles(frame, 0.85).collect())) == sorted(similar) and similar
+
+
+def test_deduplication_weighs_as_tfidf(spark):
+    """Cosines near the threshold come from frequencies over all texts, though few are weighed."""
+    texts = ["alpha beta gamma delta " * 5, "alpha beta gamma delta " * 5 + "epsilon", "other words here", "epsilon zeta", "alpha eta"]
+    rows = [(f"j{i}", "Acme" if i else "Acme Soft", "Backend Developer", t, "", "hn", 1.0) for i, t in enumerate(texts)]
+    jobs = spark.createDataFrame(rows, "job_id string, company_name string, title string, description_clean string, deadline string, city string, experience_min double")
+    weights = {}
+    for r in retrieval.tfidf(jobs, "job_id", "description_clean", sublinear=True, bigrams=False).collect():
+        weights.setdefault(r.doc_id, {})[r.term] = r.weight
+    cosine = sum(w * weights["j1"].get(t, 0.0) for t, w in weights["j0"].items())
+    for least, linked in ((cosine - 1e-6, True), (cosine + 1e-6, False)):
+        report = dedup.deduplicate(jobs, title_similarity=least)[1].collect()
+        assert ("j0" in {r.job_id for r in report} | {r.kept_job_id for r in report}) == linked
