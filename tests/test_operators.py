@@ -262,3 +262,32 @@ def test_query(spark, duck, name):
         return tuple((x is None, str(x)) for x in row)
 
     assert sorted(got, key=key) == sorted((tuple(r[i] for i in places) for r in expected.fetchall()), key=key)
+
+
+def test_many_pairs_take_little_room(spark, tmp_path):
+    """All customers ask here, and all but a few have one set: their rows are dealt out, in runs and repeated sequences."""
+    keys = "(range - 1000) * 20"
+    orders = f"SELECT {keys} AS o_custkey, 'high' AS o_orderpriority FROM range(2600) UNION ALL SELECT {keys}, 'low' FROM range(7) UNION ALL SELECT NULL, 'high'"
+    duckdb.sql(f"COPY ({orders}) TO '{tmp_path}/orders.parquet'")
+    plans.QUERIES["jaccard_pairs"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet'")
+    for t in "region nation customer supplier part lineitem events documents embeddings pages benchmark labels conversations".split():
+        con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
+    con.sql(f"CREATE TABLE want AS {plans.ORACLES['jaccard_pairs']}")
+    con.sql(f"CREATE TABLE got AS SELECT a, b, jaccard FROM '{tmp_path}/out/*.parquet'")
+    rows = con.sql("SELECT count(*) FROM want").fetchall()[0][0]
+    assert rows == 2600 * 2599 == con.sql("SELECT count(*) FROM got").fetchall()[0][0]
+    assert not con.sql("FROM want EXCEPT ALL FROM got").fetchall()
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < rows / 4
+    assert max(con.sql(f"SELECT count(*) FROM '{f}'").fetchall()[0][0] for f in files) < rows / 2
+
+
+def test_blocks(spark):
+    frame = spark.createDataFrame([(i, "x" if i % 10 else "y") for i in range(100)] + [(None, "x"), (None, "z")], "id int, g string")
+    got = relational.blocks(frame, "id", "g", 4).collect()
+    assert sorted((i, r.g) for r in got for i in r[1]) == [(i, "x" if i % 10 else "y") for i in range(100)]
+    assert all(0 < len(r[1]) <= 4 for r in got) and sum(len(r[1]) < 4 for r in got) <= 3
+    pairs = spark.createDataFrame([(0.5, [1, 2], [3, 4]), (1.0, [5], [])], "v double, p array<int>, q array<int>")
+    assert [tuple(r) for r in relational.spread_pairs(pairs, "p", "q").select("v", "p", "q").collect()] == [(0.5, 1, 3), (0.5, 1, 4), (0.5, 2, 3), (0.5, 2, 4)]
