@@ -284,6 +284,12 @@ def test_many_pairs_take_little_room(spark, tmp_path):
     assert max(con.sql(f"SELECT count(*) FROM '{f}'").fetchall()[0][0] for f in files) < rows / 2
 
 
+def test_pairs_have_no_nulls(spark):
+    """Parquet spares the levels of columns that can't be null; pairs are many, and most of their time goes into writing."""
+    frame = plans.QUERIES["jaccard_pairs"](spark, SF)
+    assert [f.name for f in frame.schema if f.nullable] == []
+
+
 def test_blocks(spark):
     frame = spark.createDataFrame([(i, "x" if i % 10 else "y") for i in range(100)] + [(None, "x"), (None, "z")], "id int, g string")
     got = relational.blocks(frame, "id", "g", 4).collect()
